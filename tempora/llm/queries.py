@@ -8,17 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, linededup, packing, sharding, simhash
+from tempora.llm import bpe, capfilter, linededup, packing, sharding, simhash, vptree
 from tempora.llm.common import table
 
 SHARDS = 24
 
 
+def op1_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,7 +48,7 @@ def op9_line_dedup_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash_anchor_covering, op6_hierarchical_packing, op7_bpe_monoid_tree, op8_hypergeometric_sharding, op9_line_dedup_perfect_hash]
+    found = [op1_vantage_point_search, op4_simhash_anchor_covering, op5_spherical_cap_dedup, op6_hierarchical_packing, op7_bpe_monoid_tree, op8_hypergeometric_sharding, op9_line_dedup_perfect_hash]
     return {f.__name__: f for f in found}
 
 
