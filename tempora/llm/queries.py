@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, capfilter, linededup, packing, sharding, simhash, vptree
+from tempora.llm import bpe, capfilter, langid, linededup, packing, sharding, simhash, toxicity, vptree
 from tempora.llm.common import table
 
 SHARDS = 24
@@ -19,6 +19,12 @@ def op1_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op3_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,8 +53,12 @@ def op9_line_dedup_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_vantage_point_search, op4_simhash_anchor_covering, op5_spherical_cap_dedup, op6_hierarchical_packing, op7_bpe_monoid_tree, op8_hypergeometric_sharding, op9_line_dedup_perfect_hash]
+    found = [op1_vantage_point_search, op3_string_kernel_toxicity, op4_simhash_anchor_covering, op5_spherical_cap_dedup, op6_hierarchical_packing, op7_bpe_monoid_tree, op8_hypergeometric_sharding, op9_line_dedup_perfect_hash, op10_crf_language_id]
     return {f.__name__: f for f in found}
 
 

@@ -4,8 +4,8 @@ The kernel of two words sums, over all character subsequences of one length
 they share, a decay to the power of the stretch each spans; so an insult with
 gaps or inserted characters keeps most of its similarity, and letters set
 apart are read as one word. Words that tell toxic documents of the training
-sample from the others are the landmarks. A sentence is represented by its best
-similarity to each landmark, mapped by the inverse root of the landmarks' own
+sample from the others are the landmarks. A sentence is represented by its words'
+similarities to each landmark, added up and mapped by the inverse root of the landmarks' own
 kernel matrix, and a linear support vector machine with a logistic link
 scores it. A document scores as its most toxic sentence.
 """
@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.words import Words, batches_of, code_points, training_rows
+from tempora.llm.words import Words, batches_of, code_points, letters_only, training_rows
 
 ORDER = 3
-DECAY = 0.6
-FLOOR = 0.35  # similarities below are taken as none
-LANDMARKS = 24
+DECAY = 0.7
+FLOOR = 0.3  # similarities below are taken as none
+LANDMARKS = 48
 PER_LABEL = 1500  # documents learned from, of each label
+POWER = 2  # of the normalised kernel, which is a kernel again
+STEMS = (4, 5, 6, 7)
 LEAST_DOCUMENTS = 3  # toxic documents a landmark is found in
 
 
@@ -75,42 +77,46 @@ def self_kernel(words: np.ndarray) -> np.ndarray:
 def similarities(forms: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
     """Normalised kernel of each form with each landmark; below ``FLOOR`` zero.
 
-    A form is compared with a landmark only if it has enough of the landmark's letters
-    in the landmark's order for the kernel to reach the floor at all.
+    A form is compared with a landmark only if it has all but one of its letters in
+    their order (one more may be missing for every eight).
     """
     out = np.zeros((len(forms), len(landmarks)))
-    points = code_points(forms)
+    points, _ = letters_only(code_points(forms))
+    alphabet = sorted({ord(c) for x in landmarks for c in x})
     for start in range(0, len(forms), 32768):
         part = points[start : start + 32768]
-        for i, landmark in enumerate(landmarks):
+        part = part[:, : int((part > 0).any(axis=0).sum())]
+        held = {c: (part == c).any(axis=1) for c in alphabet}
+        close: list[np.ndarray] = []
+        for landmark in landmarks:
             letters = np.array([ord(c) for c in landmark], np.uint32)
-            held = sum((part == c).any(axis=1).astype(np.int8) for c in np.unique(letters))
-            # Longest stretch of the landmark that a word follows in order, a cheap bound.
-            maybe = np.flatnonzero(held >= np.ceil(0.6 * len(np.unique(letters))))
-            if not len(maybe):
-                continue
-            chosen = part[maybe]
-            follow = np.zeros(len(chosen), np.int64)
-            table = np.zeros((len(letters) + 1, len(chosen)), np.int8)
-            for k in range(int((chosen > 0).any(axis=0).sum())):
-                diagonal = table[0].copy()
-                for j, c in enumerate(letters, 1):
-                    above = table[j].copy()
-                    table[j] = np.where(chosen[:, k] == c, diagonal + 1, np.maximum(above, table[j - 1]))
-                    diagonal = above
-            follow = table[-1]
-            keep = follow >= max(ORDER, np.ceil(0.6 * len(letters)))
-            maybe, chosen = maybe[keep], chosen[keep]
-            if not len(maybe):
-                continue
-            width = int((chosen > 0).any(axis=0).sum())
-            chosen = chosen[:, :width]
-            norm = np.sqrt(np.maximum(self_kernel(chosen), 1e-12) * own[i])
-            k = kernel(chosen, letters) / norm
-            out[start + maybe, i] = np.where(k >= FLOOR, k, 0.0)
+            distinct = np.unique(letters)
+            maybe = np.flatnonzero(sum(held[c].astype(np.int8) for c in distinct.tolist()) >= min(len(distinct), max(2, len(distinct) - 1)))
+            close.append(maybe[_in_order(part[maybe], letters) >= max(ORDER, len(letters) - 1 - len(letters) // 8)])
+        which = np.unique(np.concatenate(close)) if close else np.zeros(0, np.int64)
+        selves = np.zeros(len(part))
+        selves[which] = np.maximum(self_kernel(part[which]), 1e-12)
+        for i, (landmark, maybe) in enumerate(zip(landmarks, close, strict=True)):
+            if len(maybe):
+                chosen = part[maybe]
+                chosen = chosen[:, : int((chosen > 0).any(axis=0).sum())]
+                k = kernel(chosen, np.array([ord(c) for c in landmark], np.uint32)) / np.sqrt(selves[maybe] * own[i])
+                out[start + maybe, i] = np.where(k >= FLOOR, k, 0.0) ** POWER
     return out
 
 
+def _in_order(words: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """How many of the letters each word has in their order (longest common subsequence)."""
+    table = np.zeros((len(letters) + 1, len(words)), np.int8)
+    for k in range(words.shape[1]):
+        diagonal = table[0].copy()
+        for j, c in enumerate(letters, 1):
+            above = table[j].copy()
+            table[j] = np.maximum(np.where(words[:, k] == c, diagonal + 1, above), table[j - 1])
+            diagonal = above
+    return table[-1]
+
+
 class Scorer:
     """Landmarks, their Nystroem map, and the machine trained on it."""
 
@@ -137,7 +143,7 @@ class Scorer:
         if not len(hits):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)))
         cuts = np.flatnonzero(np.diff(sentence[hits], prepend=-1))
-        return text[hits][cuts], np.maximum.reduceat(near[words.at[hits]], cuts, axis=0)
+        return text[hits][cuts], np.add.reduceat(near[words.at[hits]], cuts, axis=0)
 
     def decide(self, near: np.ndarray) -> np.ndarray:
         return near @ self.map @ self.weights + self.bias
@@ -150,21 +156,54 @@ class Scorer:
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Words that toxic documents hold far more often than others, the clearest first."""
+    """Words and word stems that toxic documents hold far more often than others.
+
+    A stem stands for words that begin alike; it is taken instead of them if
+    it is found in more toxic documents. What is very similar to a landmark
+    already taken, or begins with it, is left out.
+    """
     words = Words(texts, join_letters=True)
+    index: dict[str, int] = {}
+    of_form = []
+    for w in words.forms:
+        w = "".join(c for c in w if c.isalpha())
+        of_form.append([index.setdefault(x, len(index)) for x in {w, *(w[:n] for n in STEMS if n < len(w))} if len(x) >= ORDER])
+    sizes = np.array([len(x) for x in of_form], np.int64)
+    flat = np.array([i for x in of_form for i in x], np.int64)
+    names = list(index)
     text = np.repeat(np.arange(len(texts)), words.lengths)
-    stripped = [w.strip(".,;:!?\"'()[]|*%&$#") for w in words.forms]
-    names, of_form = np.unique(np.array(stripped, dtype=object).astype(str), return_inverse=True)
-    pairs = np.unique(text.astype(np.int64) * len(names) + of_form[words.at]) if len(words.at) else np.zeros(0, np.int64)
+    seen = np.unique(text * max(1, len(words.forms)) + words.at)
+    doc, form = seen // max(1, len(words.forms)), seen % max(1, len(words.forms))
+    n = sizes[form]
+    at = np.repeat(np.cumsum(sizes)[form] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pairs = np.unique(np.repeat(doc, n) * max(1, len(names)) + flat[at])
     doc, name = pairs // max(1, len(names)), pairs % max(1, len(names))
     bad = np.bincount(name[toxic[doc] == 1], minlength=len(names)).astype(float)
     good = np.bincount(name[toxic[doc] == 0], minlength=len(names)).astype(float)
     n_bad, n_good = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
     odds = np.log((bad + 0.5) / (n_bad - bad + 0.5)) - np.log((good + 0.5) / (n_good - good + 0.5))
     sure = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    fit = (bad >= LEAST_DOCUMENTS) & (odds > 1.5) & (sure > 2.5) & np.array([len(x) >= ORDER for x in names], bool)
-    order = sorted(np.flatnonzero(fit), key=lambda i: (-sure[i], names[i]))
-    return [str(names[i]) for i in order[:most]]
+    fit = np.flatnonzero((bad >= max(LEAST_DOCUMENTS, n_bad / 60)) & (odds > 3) & (sure > 3))
+    chosen: list[str] = []
+    extended: dict[str, list[str]] = {}
+    for i in fit:
+        extended.setdefault(names[i][:-1], []).append(names[i])
+    for i in sorted(fit, key=lambda i: (-(bad[i] - bad[i] * good[i] / (good[i] + bad[i])), -len(names[i]), names[i])):
+        x = names[i]
+        while longer := [n for n in extended.get(x, ()) if bad[index[n]] >= 0.9 * bad[index[x]]]:
+            x = max(longer, key=lambda n: bad[index[n]])
+        if len(chosen) == most:
+            break
+        if any(x.startswith(c) or (c.startswith(x) and bad[index[c]] * 1.2 >= bad[i]) for c in chosen):
+            continue
+        chosen = [c for c in chosen if not c.startswith(x)] + [x]
+    return chosen
+
+
+def bendings(word: str) -> list[str]:
+    """The word as a sentence of its own: plain, with a letter doubled, and with letters put in."""
+    mid = len(word) // 2
+    return [word, word[:mid] + word[mid] + word[mid:], word[:mid] + "x" + word[mid:], word[: mid - 1] + "q" + word[mid - 1 : mid + 1] + "z" + word[mid + 1 :]]
 
 
 def train(sample: pd.DataFrame, rounds: int = 400, penalty: float = 1e-3) -> Scorer:
@@ -180,7 +219,9 @@ def train(sample: pd.DataFrame, rounds: int = 400, penalty: float = 1e-3) -> Sco
     if len(text):
         order = np.lexsort((near.sum(axis=1), text))
         loudest[text[order]] = near[order]  # the last one written is the loudest
-    x, y = loudest @ scorer.map, np.where(toxic == 1, 1.0, -1.0)
+    bent = scorer.sentences([v for x in scorer.landmarks for v in bendings(x)])[1]
+    x = np.concatenate([loudest, bent]) @ scorer.map
+    y = np.concatenate([np.where(toxic == 1, 1.0, -1.0), np.ones(len(bent))])
     weight = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
     for t in range(1, rounds + 1):  # subgradient descent on the hinge loss
         inside = y * (x @ scorer.weights + scorer.bias) < 1
@@ -193,8 +234,8 @@ def train(sample: pd.DataFrame, rounds: int = 400, penalty: float = 1e-3) -> Sco
     for _ in range(300):  # logistic link, by Newton steps
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
         target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
-        v = np.maximum(p * (1 - p), 1e-6) * weight
-        g = np.array([(weight * (target - p) * margin).sum(), (weight * (target - p)).sum()])
+        v = np.maximum(p * (1 - p), 1e-6)
+        g = np.array([((target - p) * margin).sum(), (target - p).sum()])
         h = np.array([[(v * margin**2).sum(), (v * margin).sum()], [(v * margin).sum(), v.sum()]]) + 1e-6 * np.eye(2)
         step = np.linalg.solve(h, g)
         a, b = a + 0.5 * step[0], b + 0.5 * step[1]
