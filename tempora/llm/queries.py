@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import bpe, capfilter, langid, linededup, packing, sharding, simhash, toxicity, vptree
+from tempora.llm import bpe, capfilter, langid, linededup, packing, sharding, simhash, suffixarray, toxicity, vptree
 from tempora.llm.common import table
 
 SHARDS = 24
@@ -19,6 +19,11 @@ def op1_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixarray.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -58,7 +63,7 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_vantage_point_search, op3_string_kernel_toxicity, op4_simhash_anchor_covering, op5_spherical_cap_dedup, op6_hierarchical_packing, op7_bpe_monoid_tree, op8_hypergeometric_sharding, op9_line_dedup_perfect_hash, op10_crf_language_id]
+    found = [op1_vantage_point_search, op2_suffix_array_dedup, op3_string_kernel_toxicity, op4_simhash_anchor_covering, op5_spherical_cap_dedup, op6_hierarchical_packing, op7_bpe_monoid_tree, op8_hypergeometric_sharding, op9_line_dedup_perfect_hash, op10_crf_language_id]
     return {f.__name__: f for f in found}
 
 
