@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,23 @@ def train(sample: pd.DataFrame, seed: int = 42) -> Field:
     return field
 
 
+def label(model: Field, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Language (index; one past the last: undetermined) and score of each text."""
+    words = Words(texts)
+    best, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
+    if len(words.at) and model.langs:
+        emitted, n = model.emissions(words.forms)
+        probs = marginals(*forward_backward(emitted[words.at], words.lengths, model.steps, model.first)[:2]) * (n[words.at] > 0)[:, None]
+        total = np.zeros((len(texts), len(model.langs)))
+        full = words.lengths > 0
+        total[full] = np.add.reduceat(probs, (np.cumsum(words.lengths) - words.lengths)[full], axis=0)
+        mass = total.sum(axis=1)
+        told = mass > 0
+        best[told] = total[told].argmax(axis=1)
+        score[told] = np.clip(total[told].max(axis=1) / mass[told], 0, 1)
+    return best, score
+
+
 def predict_languages(docs: DataFrame, field: Field) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row; ``und`` and 0 where the text has no letter."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(field, protocol=5))
@@ -167,23 +185,28 @@ def predict_languages(docs: DataFrame, field: Field) -> DataFrame:
         names = np.array([*model.langs, UNDETERMINED], dtype=object)
         for batch in batches:
             for part in batches_of(batch):
-                words = Words(list(part["text"]))
-                best, score = np.full(len(part), len(model.langs)), np.zeros(len(part))
-                if len(words.at) and model.langs:
-                    emitted, n = model.emissions(words.forms)
-                    probs = marginals(*forward_backward(emitted[words.at], words.lengths, model.steps, model.first)[:2]) * (n[words.at] > 0)[:, None]
-                    total = np.zeros((len(part), len(model.langs)))
-                    full = words.lengths > 0
-                    total[full] = np.add.reduceat(probs, (np.cumsum(words.lengths) - words.lengths)[full], axis=0)
-                    mass = total.sum(axis=1)
-                    told = mass > 0
-                    best[told] = total[told].argmax(axis=1)
-                    score[told] = np.clip(total[told].max(axis=1) / mass[told], 0, 1)
+                best, score = label(model, list(part["text"]))
                 yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": names[best], "score": score})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def filter_languages(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language; texts without a letter go."""
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(field, protocol=5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Field = pickle.loads(shipped.value)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keep: list[bool] = []
+            for part in batches_of(pd.DataFrame({"text": pd.Series(texts, dtype=object)})):
+                keep += (label(model, list(part["text"]))[0] < len(model.langs)).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that are never learned from: a quarter of all, by the checksum of their id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

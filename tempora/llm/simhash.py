@@ -9,6 +9,11 @@ in the blocks with ``d1 + d2 <= t``, so the second lies within ``3 + d1`` and
 every anchor within covering radius plus threshold in that sense, and compared,
 at each anchor, with the fingerprints that are at home there.
 
+``keep_first`` decides by similarity instead of bits. Near copies are found by
+the words they hold: several fingerprints of the word set, each dealt to its anchors,
+where a wide fingerprint of the word shingles (its bits estimate the angle
+between shingle sets, and so their Jaccard similarity) decides.
+
 Equal fingerprints are one node from the start, so copies cost nothing. Many
 different fingerprints at one anchor are looked up by bit changes instead of
 compared in pairs, so a task's work grows in proportion to its rows. What leaves an
@@ -205,3 +210,220 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# -- near copies by similarity ---------------------------------------------------
+
+TABLES = 8  # fingerprints of the word set
+WIDE = 8  # 64-bit parts of the shingle fingerprint
+ALL_PAIRS = 2048
+_LANE = np.uint64(0x0101010101010101)
+
+
+def _mixed(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """``parts`` independent 64-bit hashes of each hash, one row for each part."""
+    x = hashes[None, :] + (np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray, parts: int) -> bytes:
+    """SimHash of a set of hashes, ``parts`` times 64 bits; zero for an empty set."""
+    n = len(hashes)
+    if not n:
+        return bytes(8 * parts)
+    x = _mixed(hashes, parts)
+    rows = -(-n // 255)
+    x = np.pad(x, ((0, 0), (0, rows * 255 - n))).reshape(parts, rows, 255)
+    ones = np.empty((parts, 8, 8), np.int64)
+    for bit in range(8):  # eight counters at a time, one in each byte
+        lanes = ((x >> np.uint64(bit)) & _LANE).sum(axis=2, dtype=np.uint64)
+        ones[:, :, bit] = lanes.view(np.uint8).reshape(parts, rows, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(ones.reshape(parts, 64) * 2 > n, axis=1, bitorder="little").tobytes()
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> set[int]:
+    """Hashes of the distinct word shingles (fewer words: of the whole sequence)."""
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(tokens)
+    if len(tokens) <= words:
+        return {digest(joined, SEED)} if tokens else set()
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return {digest(joined[a:b], SEED) for a, b in zip(starts[: -words + 1 or None].tolist(), ends[words - 1 :].tolist(), strict=True)}
+
+
+def word_and_shingle_marks(text: str | None, words: int) -> tuple[bytes, bytes]:
+    """Fingerprints of a text's set of words and of its set of word shingles."""
+    tokens = (text or "").encode().lower().split()
+    of_words = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in set(tokens)), np.uint64)
+    shingles = shingle_hashes(tokens, words)
+    return wide_fingerprint(of_words, TABLES), wide_fingerprint(np.fromiter(shingles, np.uint64, len(shingles)), WIDE)
+
+
+def bits_for(similarity: float) -> int:
+    """Bits of the wide fingerprint in which sets of this Jaccard similarity differ, on average."""
+    return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def _differing(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), np.int64)
+    for s in range(0, len(a), 1 << 18):
+        out[s : s + (1 << 18)] = np.bitwise_count(sig[a[s : s + (1 << 18)]] ^ sig[b[s : s + (1 << 18)]]).sum(axis=1)
+    return out
+
+
+def _cell_pairs(sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one large cell that differ in at most ``most`` bits.
+
+    Up to ``ALL_PAIRS`` rows: all. Beyond, rows are taken as leaders in turn:
+    every row is compared with every leader, and a row that a leader links
+    leads no more. So the work is rows times leaders.
+    """
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    led = np.zeros(len(sig), bool)
+    for i in range(len(sig)):
+        if not led[i]:
+            rest = sig[i + 1 :] if len(sig) <= ALL_PAIRS else sig
+            near = np.flatnonzero(np.bitwise_count(rest ^ sig[i]).sum(axis=1) <= most)
+            if len(sig) <= ALL_PAIRS:
+                near += i + 1
+            else:
+                led[near] = True
+                near = near[near != i]
+            left.append(np.full(len(near), i))
+            right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _sure_and_open(node: np.ndarray, cell: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray, sure: int) -> pd.DataFrame:
+    """Forest of the sure links, and for each two trees of a cell the likeliest of the open ones."""
+    clear = bits <= sure
+    u, v = local_forest(node[a[clear]], node[b[clear]])
+    out = [pd.DataFrame({"a": u, "b": v, "sure": True})]
+    if not clear.all():
+        root = dict(zip(u.tolist(), v.tolist(), strict=True))
+        a, b, bits = a[~clear], b[~clear], bits[~clear]
+        x, y = node[a], node[b]
+        p = np.array([root.get(i, i) for i in x.tolist()], np.int64)
+        q = np.array([root.get(i, i) for i in y.tolist()], np.int64)
+        found = pd.DataFrame({"a": x, "b": y, "p": np.minimum(p, q), "q": np.maximum(p, q), "cell": cell[a], "bits": bits})
+        found = found[found["p"] != found["q"]].sort_values(["bits", "a", "b"]).drop_duplicates(["cell", "p", "q"])
+        out.append(found[["a", "b"]].assign(sure=False))
+    return pd.concat(out)
+
+
+def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -> DataFrame:
+    """``a, b, sure``: links of nodes (``node, word_mark, shingle_mark``) that meet at an anchor and are similar.
+
+    Up to ``sure`` differing bits they are; up to ``most_bits`` an exact check must tell.
+
+    Which anchors are anybody's home is told to all tasks as a bitmap, whose size is fixed
+    (``TABLES`` times 2^24 bits), so replicas that would meet nobody are not sent.
+    """
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            marks = np.frombuffer(b"".join(batch["word_mark"]), "<i8").reshape(-1, TABLES)
+            for t in range(TABLES):
+                yield pd.DataFrame({"cell": anchors(np.ascontiguousarray(marks[:, t]), 0)[1] | t << 24})
+
+    cells = nodes.select("word_mark").mapInPandas(homes, "cell long")
+    # A bitmap's first bucket begins at 1.
+    parts = cells.groupBy(F.bitmap_bucket_number(F.col("cell") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits")).collect()
+    occupied = np.zeros((TABLES << 24) // 8, np.uint8)
+    for row in parts:
+        first = (row.bucket - 1) * 4096
+        occupied[first : first + 4096] = np.frombuffer(row.bits, np.uint8)
+    shipped = nodes.sparkSession.sparkContext.broadcast(occupied.tobytes())
+
+    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = np.frombuffer(shipped.value, np.uint8)
+        for batch in batches:
+            for s in range(0, len(batch), 4096):
+                part = batch.iloc[s : s + 4096]
+                marks = np.frombuffer(b"".join(part["word_mark"]), "<i8").reshape(-1, TABLES)
+                for t in range(TABLES):
+                    at, cell, _ = anchors(np.ascontiguousarray(marks[:, t]), threshold)
+                    cell = cell | t << 24
+                    met = (taken[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+                    yield pd.DataFrame({"cell": cell[met].astype(np.int32), "node": part["node"].to_numpy()[at[met]], "mark": part["shingle_mark"].to_numpy()[at[met]]})
+
+    dealt = nodes.mapInPandas(replicate, "cell int, node long, mark binary").repartition("cell").sortWithinPartitions("cell")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def links_of(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            cell, node = part["cell"].to_numpy(), part["node"].to_numpy()
+            sig = np.frombuffer(b"".join(part["mark"]), "<u8").reshape(-1, WIDE)
+            cuts = np.flatnonzero(np.diff(cell)) + 1
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cell)]])
+            sizes, left, right = ends - starts, [], []
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):
+                x, y = np.triu_indices(size, 1)
+                first = starts[sizes == size]
+                a, b = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+                near = _differing(sig, a, b) <= most_bits
+                left.append(a[near])
+                right.append(b[near])
+            for lo, hi in zip(starts[sizes > 24], ends[sizes > 24], strict=True):
+                a, b = _cell_pairs(sig[lo:hi], most_bits)
+                left.append(a + lo)
+                right.append(b + lo)
+            if left and sum(map(len, left)):
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield _sure_and_open(node, cell, a, b, _differing(sig, a, b), sure)
+
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            whole = int(np.searchsorted(held["cell"].to_numpy(), held["cell"].iloc[-1])) if len(held) else 0
+            if whole:
+                yield from links_of(held.iloc[:whole])
+                held = held.iloc[whole:]
+        if held is not None and len(held):
+            yield from links_of(held)
+
+    return dealt.mapInPandas(compare, "a long, b long, sure boolean")
+
+
+def exactly_similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a, b``: ids) whose shingle sets have this Jaccard similarity or more."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), 256):
+                part = batch.iloc[s : s + 256]
+                held = [np.fromiter(h := shingle_hashes((t or "").encode().lower().split(), words), np.uint64, len(h)).view(np.int64) for t in part["text"]]
+                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "held": held})
+
+    pairs = pairs.distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(sets, "id long, held array<long>")
+    x, y = (held.select(F.col("id").alias(c), F.col("held").alias(f"of_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(x, "a").join(y, "b").where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: each class keeps its smallest ``doc_id``.
+
+    A class is what links of ``similarity`` or more (shingles of ``words`` words)
+    connect. Texts without words are copies of each other. Of rows with one id
+    all stay or all go; a null id stays only where its class has no other.
+    """
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            marks = [word_and_shingle_marks(t, words) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "word_mark": [m[0] for m in marks], "shingle_mark": [m[1] for m in marks]})
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = slim.mapInPandas(mark, "doc_id long, word_mark binary, shingle_mark binary")
+    nodes = durable(marked.groupBy("word_mark", "shingle_mark").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
+    cut, slack = bits_for(similarity), round(2.5 * np.sqrt(bits_for(similarity)))
+    found = durable(similar_links(nodes, cut - slack, cut + slack, threshold))
+    checked = exactly_similar(slim, found.where("NOT sure").select("a", "b"), words, similarity)
+    roots = components(found.where("sure").select("a", "b").unionByName(checked))
+    # What stays: the first id of each set of equal fingerprints that is its class's root.
+    stay = nodes.select("node").join(roots, "node", "left_anti").select(F.col("node").alias("doc_id"))
+    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -366,3 +366,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     fields = [T.StructField(n, k) for n, k in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()))]
     placed = known.join(removal, (F.col("_u") == F.col("u")) & (F.col("_n") == F.col("n")), "left").select(*docs.columns, "_u", "_n", "_found", "_whole")
     return placed.mapInArrow(cut, T.StructType([*docs.schema.fields, *fields]))
+
+
+def kept_text(kept: Column) -> Column:
+    """Remaining bytes as text; what is left of a character cut in two is dropped."""
+
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+    return F.pandas_udf(decode, "string")(kept)
