@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import retrieval
+from tempora.plans import retrieval, sampling
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, sampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
