@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import retrieval, sampling
+from tempora.plans import leaderboard, retrieval, sampling, statistics
 
-_MODULES = (retrieval, sampling)
+_MODULES = (retrieval, sampling, statistics, leaderboard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
