@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import leaderboard, retrieval, sampling, segments, selection, statistics
+from tempora.plans import leaderboard, retrieval, sampling, segments, selection, statistics, text
 
-_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection)
+_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
