@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import leaderboard, retrieval, sampling, segments, selection, statistics, text
+from tempora.plans import leaderboard, programs, retrieval, sampling, segments, selection, statistics, streams, text
 
-_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection, text)
+_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection, text, streams, programs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
