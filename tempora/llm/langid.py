@@ -214,8 +214,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field:
     """The field fitted to at most ``per_language`` documents of each non-null ``lang``, held-out ones apart."""
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    return train(training_rows(rows, "lang", per_language))
+    keys = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+    return train(training_rows(keys, docs, "lang", per_language))
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

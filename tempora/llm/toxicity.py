@@ -253,8 +253,7 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Scorer:
     """The scorer fitted to at most ``per_label`` labelled documents of each kind, held-out ones apart."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    return train(training_rows(rows, "toxic", per_label))
+    return train(training_rows(known, docs, "toxic", per_label))
 
 
 def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:

@@ -81,14 +81,17 @@ def letters_only(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(np.arange(points.shape[1]) < n[:, None], front, 0), n
 
 
-def training_rows(rows: DataFrame, label: str, most: int) -> pd.DataFrame:
+def training_rows(keys: DataFrame, docs: DataFrame, label: str, most: int) -> pd.DataFrame:
     """``text`` and label of at most ``most`` rows of each label, chosen by a hash of the id.
 
-    Ids are chosen first, without their texts, so no long text is moved to choose.
+    ``keys`` has ``doc_id`` and the label. Ids are chosen without texts, and the texts of
+    those few are picked out where they lie, so no text is shuffled to choose. Empty and
+    very long texts are left out of what was chosen.
     """
-    fit = rows.where(F.col(label).isNotNull() & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) & (F.octet_length("text") <= TRAINING_BYTES))
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = fit.select("doc_id", label).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id").distinct()
-    ids = [r.doc_id for r in chosen.collect()]
-    picked = rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    return fit.join(F.broadcast(picked), "doc_id").select("doc_id", "text", label).toPandas().drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
+    keys = keys.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
+    chosen = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", label).distinct().toPandas()
+    picked = docs.sparkSession.createDataFrame([(int(i),) for i in chosen["doc_id"].unique()], "doc_id long")
+    fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((F.octet_length("text") <= TRAINING_BYTES) & (F.length(F.trim("text")) > 0))
+    texts = fit.join(F.broadcast(picked), "doc_id").toPandas()
+    return texts.drop_duplicates("doc_id").merge(chosen.drop_duplicates("doc_id"), on="doc_id").sort_values("doc_id").reset_index(drop=True)
