@@ -2,14 +2,14 @@
 
 Which bytes lie in a string of ``length`` bytes that also starts elsewhere?
 
-1. Every document is cut at anchors: for each possible start of such a string,
-   the place of the least hash in the ``window`` bytes behind it. Equal strings
-   have equal anchors, so each string is known by its anchor and its offset
-   from it. All strings of one anchor share ``length + 1 - window`` bytes,
-   whose hash is the anchor's class. Only classes with two anchors matter.
-2. An anchor's block is its class with ``window - 1`` bytes on either side.
-   Equal blocks are one from here on, so copies cost nothing, and their
-   strings all repeat.
+1. Every possible start of such a string picks a coarse anchor: the place of the
+   least hash among those whose ``GRAM`` bytes lie in the string. Equal strings
+   pick equal anchors, so a string can only repeat if its anchor's gram is
+   found in two places. Few do, and only their documents and starts go on.
+2. These starts pick an anchor again, within ``window`` bytes. All strings of one
+   anchor share ``length + 1 - window`` bytes, whose hash is the anchor's class;
+   its block is the class with ``window - 1`` bytes on either side. Equal blocks
+   are one from here on, so copies cost nothing, and their strings all repeat.
 3. Where a class has different blocks, their edges around one symbol for the
    shared middle form a text, many classes to a text, whose suffix array is
    built by linear grouping (``suffix_array``). A string repeats if a neighbour
@@ -18,8 +18,8 @@ Which bytes lie in a string of ``length`` bytes that also starts elsewhere?
    is split into its single strings, which are counted by hash.
 5. The repeated strings return to their documents, which lose the bytes.
 
-Documents are known by a hash of their text and its length, so copies are one
-document that repeats. The text itself is shuffled once.
+A document is known by a 64-bit hash of its text, so copies are one document
+that repeats. The text itself is shuffled once.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 LENGTH = 400
-WINDOW = 80
+WINDOW = 56  # a multiple of eight
+GRAM = 64
 MOST_BLOCKS = 256  # different blocks of a class that are ordered together
 TEXT_SYMBOLS = 150_000
 
@@ -144,11 +146,9 @@ def suffix_array(text: np.ndarray) -> list[int]:
 # -- anchors, classes and blocks -----------------------------------------------
 
 
-def anchors(data: bytes, length: int, window: int) -> np.ndarray:
-    """Where the strings of ``length`` bytes have their anchors, ascending."""
+def _place_hashes(data: bytes) -> np.ndarray:
+    """A hash of the eight bytes at each place, above the place itself."""
     n = len(data)
-    if n < length:
-        return np.zeros(0, np.int64)
     raw = np.frombuffer(data + bytes(8), np.uint8)
     h = np.zeros(n, np.uint64)
     for i in range(8):
@@ -156,16 +156,35 @@ def anchors(data: bytes, length: int, window: int) -> np.ndarray:
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    # The least hash of each window, the first of equals: doubled spans, then two that overlap.
-    least = ((h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64))[: n - length + window]
-    span = 1
-    while span * 2 <= window:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < window:
-        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+
+
+def _least(hashes: np.ndarray, span: int, starts: int) -> np.ndarray:
+    """For each start the place of the least hash in the ``span`` places behind it, the first of equals."""
+    least, have = hashes[: starts + span - 1], 1
+    while have * 2 <= span:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if have < span:
+        least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def coarse_anchors(data: bytes, length: int, gram: int) -> np.ndarray:
+    """The coarse anchor of each start of a string of ``length`` bytes."""
+    starts = len(data) - length + 1
+    return _least(_place_hashes(data), length - gram + 1, starts) if starts > 0 else np.zeros(0, np.int64)
+
+
+def anchors(data: bytes, length: int, window: int, gram: int, repeated: set[int]) -> np.ndarray:
+    """Anchors of the starts whose coarse anchor is one of ``repeated``, ascending."""
+    starts = len(data) - length + 1
+    if starts <= 0:
+        return np.zeros(0, np.int64)
+    hashes = _place_hashes(data)
+    live = np.zeros(len(data), bool)
+    live[list(repeated)] = True
+    return np.unique(_least(hashes, window, starts)[live[_least(hashes, length - gram + 1, starts)]])
 
 
 def _signed(x: int) -> int:
@@ -255,66 +274,64 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     repeat are documents of their own, so they repeat each other. Columns named
     like the results are replaced; other columns, clashing or not, are kept.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_u", "_n", "_found", "_whole")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_u", "_found", "_whole")
     columns = docs.columns
-    known = docs.withColumn("_u", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_n", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    middle = length + 1 - window
+    known = docs.withColumn("_u", F.xxhash64(F.coalesce("text", F.lit(""))))
+    long_enough = F.octet_length("text") >= length
+    middle, gram = length + 1 - window, min(GRAM, length // 2)
     full = np.packbits(np.ones(window, np.uint8)).tobytes()
 
-    # 1. Anchors and their classes, and which classes have two different places.
+    # 1. Coarse anchors, and those whose gram has two different places.
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, ns, rows = batch.column("_u").to_pylist(), batch.column("_n").to_pylist(), []
-            for data, u, n in zip(_texts(batch), us, ns, strict=True):
-                rows += [(_signed(xxhash.xxh3_64_intdigest(data[q : q + middle])), u, n, q) for q in anchors(data, length, window).tolist()]
+            us, rows = batch.column("_u").to_pylist(), []
+            for data, u in zip(_texts(batch), us, strict=True):
+                rows += [(_signed(xxhash.xxh3_64_intdigest(data[q : q + gram])), u, q) for q in np.unique(coarse_anchors(data, length, gram)).tolist()]
                 if len(rows) > 20_000:
-                    yield from _table(rows, "key long, u long, n long, q int")
+                    yield from _table(rows, "key long, u long, q int")
                     rows = []
-            yield from _table(rows, "key long, u long, n long, q int")
+            yield from _table(rows, "key long, u long, q int")
 
-    place = F.xxhash64("u", "n", "q")
-    found = known.where(F.col("_n") >= length).select("text", "_u", "_n").mapInArrow(find, "key long, u long, n long, q int")
-    found = found.select("key", "u", (F.shiftleft("n", 32) + F.col("q")).alias("nq"))
-    one = F.xxhash64("u", "nq")
-    repeated = found.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("key")
-    asked = found.join(repeated, "key", "left_semi").groupBy("u", F.shiftright("nq", 32).alias("n")).agg(F.collect_set(F.col("nq").bitwiseAND(0x7FFFFFFF).cast("int")).alias("qs"))
+    place = F.xxhash64("u", "q")
+    found = known.where(long_enough).select("text", "_u").mapInArrow(find, "key long, u long, q int")
+    repeated = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
+    asked = found.join(repeated, "key", "left_semi").groupBy("u").agg(F.collect_set("q").alias("qs"))
+
+    # 2. The blocks of the strings around them, equal ones aggregated.
+    def blocks_of(data: bytes, qs: list[int]) -> Iterator[tuple[int, int, int]]:
+        for q in anchors(data, length, window, gram, set(qs)).tolist():
+            yield _signed(xxhash.xxh3_64_intdigest(data[q : q + middle])), _block_hash(*_edges(data, q, length, window)), q
 
-    # 2. The blocks of those classes, equal ones aggregated.
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec = "key long, block long, u long, n long, q int"
         for batch in batches:
             rows = []
-            for data, u, n, qs in zip(_texts(batch), batch.column("_u").to_pylist(), batch.column("_n").to_pylist(), batch.column("qs").to_pylist(), strict=True):
-                rows += [(_signed(xxhash.xxh3_64_intdigest(data[q : q + middle])), _block_hash(*_edges(data, q, length, window)), u, n, q) for q in qs]
-            yield from _table(rows, spec)
+            for data, u, qs in zip(_texts(batch), batch.column("_u").to_pylist(), batch.column("qs").to_pylist(), strict=True):
+                rows += [(key, block, u, q) for key, block, q in blocks_of(data, qs)]
+            yield from _table(rows, "key long, block long, u long, q int")
 
     def with_text(lists: DataFrame) -> DataFrame:
-        return known.join(lists, (F.col("_u") == F.col("u")) & (F.col("_n") == F.col("n"))).select(*docs.columns, "_u", "_n", *[c for c in lists.columns if c not in ("u", "n")])
+        return known.join(lists, F.col("_u") == F.col("u")).select(*columns, "_u", *[c for c in lists.columns if c != "u"])
 
-    places = with_text(asked).mapInArrow(blocks, "key long, block long, u long, n long, q int")
-    distinct = places.groupBy("key", "block").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min(F.struct("u", "n", "q")).alias("one"))
-    kinds = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-    distinct = distinct.join(kinds, "key").select("key", "block", (F.col("a") != F.col("b")).alias("multiple"), "kinds", "one")
+    places = with_text(asked).mapInArrow(blocks, "key long, block long, u long, q int")
+    distinct = places.groupBy("key", "block").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("u").alias("u"))
+    distinct = distinct.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("kinds > 1 OR a <> b")
 
-    # 3. Blocks of classes with several kinds, one place of each, with their edges.
+    # 3. Blocks of classes with several kinds, one document of each, with their edges.
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = "key long, block long, left binary, right binary, string long, offset int"
         for batch in batches:
             rows = []
-            for data, asked_ in zip(_texts(batch), batch.column("asked").to_pylist(), strict=True):
-                for x in asked_:
-                    q = x["q"]
-                    if x["hot"]:
-                        for o in range(window):
-                            if o <= q and q - o + length <= len(data):
-                                rows.append((x["key"], x["block"], b"", b"", _signed(xxhash.xxh3_64_intdigest(data[q - o : q - o + length])), o))
-                    else:
-                        rows.append((x["key"], x["block"], *_edges(data, q, length, window), 0, -1))
+            for data, qs, asked_ in zip(_texts(batch), batch.column("qs").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                hot = {(x["key"], x["block"]): x["hot"] for x in asked_}
+                for key, block, q in blocks_of(data, qs):
+                    if hot.get((key, block)):
+                        rows += [(key, block, b"", b"", _signed(xxhash.xxh3_64_intdigest(data[q - o : q - o + length])), o) for o in range(window) if o <= q and q - o + length <= len(data)]
+                    elif (key, block) in hot:
+                        rows.append((key, block, *_edges(data, q, length, window), 0, -1))
             yield from _table(rows, spec)
 
-    several = distinct.where("kinds > 1")
-    wanted = several.groupBy("one.u", "one.n").agg(F.collect_list(F.struct(F.col("one.q").alias("q"), "key", "block", (F.col("kinds") > most_blocks).alias("hot"))).alias("asked"))
-    told = with_text(wanted).mapInArrow(edges, "key long, block long, left binary, right binary, string long, offset int").distinct()
+    wanted = distinct.where("kinds > 1").groupBy("u").agg(F.collect_list(F.struct("key", "block", (F.col("kinds") > most_blocks).alias("hot"))).alias("asked"))
+    told = with_text(wanted.join(asked, "u")).mapInArrow(edges, "key long, block long, left binary, right binary, string long, offset int").distinct()
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, int, bytes, bytes]] = []
@@ -322,9 +339,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         def ordered(rows: list[tuple[int, int, bytes, bytes]]) -> pd.DataFrame:
             out = []
             for (key, block, _, _), offsets in zip(rows, repeated_offsets([(k, a, b) for k, _, a, b in rows], window), strict=True):
-                bits = np.zeros(window, np.uint8)
-                bits[offsets] = 1
-                out.append((key, block, np.packbits(bits).tobytes()))
+                if offsets:
+                    bits = np.zeros(window, np.uint8)
+                    bits[offsets] = 1
+                    out.append((key, block, np.packbits(bits).tobytes()))
             return pd.DataFrame(out, columns=["key", "block", "mask"])
 
         symbols = 0
@@ -338,7 +356,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         if held:
             yield ordered(held)
 
-    by_order = told.where("offset < 0").select("key", "block", "left", "right").repartition("key").sortWithinPartitions("key").mapInPandas(order, "key long, block long, mask binary")
+    # Few bytes are much work here, so their number must not be left to their size.
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_order = told.where("offset < 0").select("key", "block", "left", "right").repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(order, "key long, block long, mask binary")
 
     # 4. Single strings of classes with very many kinds.
     hot = told.where("offset >= 0").select("key", "block", F.xxhash64("key", "offset", "string").alias("string"), "offset")
@@ -349,10 +369,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     by_hash = offsets.withColumn("digits", digits).select("key", "block", F.unhex(hexed).alias("mask"))
 
     # 5. Verdicts return to their places, and the places to their documents.
-    verdicts = distinct.join(by_order.unionByName(by_hash), ["key", "block"], "left").select("key", "block", F.when(F.col("multiple"), F.lit(full)).otherwise(F.col("mask")).alias("mask")).where("mask IS NOT NULL")
-    spans = places.join(verdicts, ["key", "block"]).groupBy("u", "n").agg(F.collect_set(F.struct("q", "mask")).alias("_found"))
-    copied = known.groupBy("_u", "_n").agg(F.count(F.lit(1)).alias("c")).where(f"c > 1 AND _n >= {length}").select(F.col("_u").alias("u"), F.col("_n").alias("n"), F.lit(True).alias("_whole"))
-    removal = spans.join(copied, ["u", "n"], "full")
+    whole = distinct.where("a <> b").select("key", "block", F.lit(full).alias("mask"))
+    verdicts = whole.unionByName(by_order).unionByName(by_hash)
+    spans = places.join(verdicts, ["key", "block"]).groupBy("u").agg(F.collect_set(F.struct("q", "mask")).alias("_found"))
+    copied = known.where(long_enough).groupBy("_u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("_u").alias("u"), F.lit(True).alias("_whole"))
+    removal = spans.join(copied, "u", "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], *extra], names=names)
 
     fields = [T.StructField(n, k) for n, k in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()))]
-    placed = known.join(removal, (F.col("_u") == F.col("u")) & (F.col("_n") == F.col("n")), "left").select(*docs.columns, "_u", "_n", "_found", "_whole")
+    placed = known.join(removal, F.col("_u") == F.col("u"), "left").select(*columns, "_u", "_found", "_whole")
     return placed.mapInArrow(cut, T.StructType([*docs.schema.fields, *fields]))
 
 
