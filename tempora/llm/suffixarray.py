@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 LENGTH = 400
-WINDOW = 56  # a multiple of eight
+WINDOW = 40  # a multiple of eight
 GRAM = 64
 MOST_BLOCKS = 256  # different blocks of a class that are ordered together
 TEXT_SYMBOLS = 150_000
@@ -149,14 +150,17 @@ def suffix_array(text: np.ndarray) -> list[int]:
 def _place_hashes(data: bytes) -> np.ndarray:
     """A hash of the eight bytes at each place, above the place itself."""
     n = len(data)
-    raw = np.frombuffer(data + bytes(8), np.uint8)
-    h = np.zeros(n, np.uint64)
-    for i in range(8):
-        h |= raw[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    h *= np.uint64(0x9E3779B97F4A7C15)
+    h = np.ndarray((n,), "<u8", data + bytes(8), strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    h &= np.uint64(0xFFFFFFFF00000000)
+    h |= np.arange(n, dtype=np.uint64)
+    return h
+
+
+def _changes(ascending: np.ndarray) -> np.ndarray:
+    """Distinct values of an ascending array."""
+    return ascending[np.concatenate([[True], ascending[1:] != ascending[:-1]])] if len(ascending) else ascending
 
 
 def _least(hashes: np.ndarray, span: int, starts: int) -> np.ndarray:
@@ -184,11 +188,7 @@ def anchors(data: bytes, length: int, window: int, gram: int, repeated: set[int]
     hashes = _place_hashes(data)
     live = np.zeros(len(data), bool)
     live[list(repeated)] = True
-    return np.unique(_least(hashes, window, starts)[live[_least(hashes, length - gram + 1, starts)]])
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return _changes(_least(hashes, window, starts)[live[_least(hashes, length - gram + 1, starts)]])
 
 
 def _edges(data: bytes, q: int, length: int, window: int) -> tuple[bytes, bytes]:
@@ -196,10 +196,6 @@ def _edges(data: bytes, q: int, length: int, window: int) -> tuple[bytes, bytes]
     return data[max(0, q - window + 1) : q], data[behind : q + length]
 
 
-def _block_hash(left: bytes, right: bytes) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(len(left).to_bytes(4, "little") + left + right))
-
-
 def repeated_offsets(blocks: list[tuple[int, bytes, bytes]], window: int) -> list[list[int]]:
     """For blocks (class, left, right): the offsets (bytes before the anchor) whose strings another block has."""
     classes = {c: 256 + i for i, c in enumerate(dict.fromkeys(b[0] for b in blocks))}
@@ -232,20 +228,29 @@ def repeated_offsets(blocks: list[tuple[int, bytes, bytes]], window: int) -> lis
 # -- the distributed operator --------------------------------------------------
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, len(batch), rows))
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x.encode() if x else b"" for x in batch.column("text").to_pylist()]
 
 
-def _schema(spec: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in spec.split(", "))])
+def _table(columns: list[list], spec: str) -> pa.RecordBatch:
+    """A batch of columns; each is a list of arrays (put end to end) or of values."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in spec.split(", "))])
+    arrays = []
+    for held, field in zip(columns, schema, strict=True):
+        if field.type == pa.binary():
+            arrays.append(pa.array(held, field.type))
+        else:
+            arrays.append(pa.array(np.concatenate(held).astype(field.type.to_pandas_dtype()) if held else np.zeros(0, field.type.to_pandas_dtype()), field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _table(rows: list[tuple], spec: str) -> Iterator[pa.RecordBatch]:
-    schema = _schema(spec)
-    for at in range(0, len(rows), 20_000):
-        columns = list(zip(*rows[at : at + 20_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _hashes(parts: Iterator[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64).view(np.int64)
 
 
 def _keep_spans(data: bytes, found: list[dict] | None, whole: bool, length: int) -> tuple[bytes, int]:
@@ -283,14 +288,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
 
     # 1. Coarse anchors, and those whose gram has two different places.
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, rows = batch.column("_u").to_pylist(), []
-            for data, u in zip(_texts(batch), us, strict=True):
-                rows += [(_signed(xxhash.xxh3_64_intdigest(data[q : q + gram])), u, q) for q in np.unique(coarse_anchors(data, length, gram)).tolist()]
-                if len(rows) > 20_000:
-                    yield from _table(rows, "key long, u long, q int")
-                    rows = []
-            yield from _table(rows, "key long, u long, q int")
+        for whole_batch in batches:
+            for batch in _slices(whole_batch):
+                keys, us, qs = [], [], []
+                for data, u in zip(_texts(batch), batch.column("_u").to_pylist(), strict=True):
+                    at = _changes(coarse_anchors(data, length, gram))
+                    keys.append(_hashes(data[q : q + gram] for q in at.tolist()))
+                    us.append(np.full(len(at), u, np.int64))
+                    qs.append(at)
+                yield _table([keys, us, qs], "key long, u long, q int")
 
     place = F.xxhash64("u", "q")
     found = known.where(long_enough).select("text", "_u").mapInArrow(find, "key long, u long, q int")
@@ -298,40 +304,59 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     asked = found.join(repeated, "key", "left_semi").groupBy("u").agg(F.collect_set("q").alias("qs"))
 
     # 2. The blocks of the strings around them, equal ones aggregated.
-    def blocks_of(data: bytes, qs: list[int]) -> Iterator[tuple[int, int, int]]:
-        for q in anchors(data, length, window, gram, set(qs)).tolist():
-            yield _signed(xxhash.xxh3_64_intdigest(data[q : q + middle])), _block_hash(*_edges(data, q, length, window)), q
+    def blocks_of(data: bytes, qs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = anchors(data, length, window, gram, set(qs))
+        places = at.tolist()
+        keys = _hashes(data[q : q + middle] for q in places)
+        sides = _hashes(min(q, window - 1).to_bytes(4, "little") + data[max(0, q - window + 1) : q] + data[q + middle : q + length] for q in places)
+        return keys, sides, at
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for data, u, qs in zip(_texts(batch), batch.column("_u").to_pylist(), batch.column("qs").to_pylist(), strict=True):
-                rows += [(key, block, u, q) for key, block, q in blocks_of(data, qs)]
-            yield from _table(rows, "key long, block long, u long, q int")
+        for whole_batch in batches:
+            for batch in _slices(whole_batch):
+                found = [blocks_of(d, qs) for d, qs in zip(_texts(batch), batch.column("qs").to_pylist(), strict=True)]
+                us = [np.full(len(x[2]), u, np.int64) for x, u in zip(found, batch.column("_u").to_pylist(), strict=True)]
+                yield _table([[x[0] for x in found], [x[1] for x in found], us, [x[2] for x in found]], "key long, block long, u long, q int")
 
     def with_text(lists: DataFrame) -> DataFrame:
-        return known.join(lists, F.col("_u") == F.col("u")).select(*columns, "_u", *[c for c in lists.columns if c != "u"])
+        # The lists are hashed, so texts need no sorting.
+        return known.join(lists.hint("shuffle_hash"), F.col("_u") == F.col("u")).select(*columns, "_u", *[c for c in lists.columns if c != "u"])
 
     places = with_text(asked).mapInArrow(blocks, "key long, block long, u long, q int")
     distinct = places.groupBy("key", "block").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("u").alias("u"))
     distinct = distinct.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("kinds > 1 OR a <> b")
 
     # 3. Blocks of classes with several kinds, one document of each, with their edges.
+    def chosen(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
+        for data, qs, asked_ in zip(_texts(batch), batch.column("qs").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            mine = {(x["key"], x["block"]) for x in asked_}
+            for key, block, q in zip(*(x.tolist() for x in blocks_of(data, qs)), strict=True):
+                if (key, block) in mine:
+                    yield data, key, block, q
+
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec = "key long, block long, left binary, right binary, string long, offset int"
-        for batch in batches:
-            rows = []
-            for data, qs, asked_ in zip(_texts(batch), batch.column("qs").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                hot = {(x["key"], x["block"]): x["hot"] for x in asked_}
-                for key, block, q in blocks_of(data, qs):
-                    if hot.get((key, block)):
-                        rows += [(key, block, b"", b"", _signed(xxhash.xxh3_64_intdigest(data[q - o : q - o + length])), o) for o in range(window) if o <= q and q - o + length <= len(data)]
-                    elif (key, block) in hot:
-                        rows.append((key, block, *_edges(data, q, length, window), 0, -1))
-            yield from _table(rows, spec)
-
-    wanted = distinct.where("kinds > 1").groupBy("u").agg(F.collect_list(F.struct("key", "block", (F.col("kinds") > most_blocks).alias("hot"))).alias("asked"))
-    told = with_text(wanted.join(asked, "u")).mapInArrow(edges, "key long, block long, left binary, right binary, string long, offset int").distinct()
+        for whole_batch in batches:
+            for batch in _slices(whole_batch):
+                rows = [(key, block, *_edges(data, q, length, window)) for data, key, block, q in chosen(batch)]
+                keys, ids, left, right = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
+                yield _table([[np.array(keys, np.int64)], [np.array(ids, np.int64)], left, right], "key long, block long, left binary, right binary")
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for batch in _slices(whole_batch):
+                columns: list[list] = [[], [], [], []]
+                for data, key, block, q in chosen(batch):
+                    offsets = [o for o in range(window) if o <= q and q - o + length <= len(data)]
+                    for held, x in zip(columns, (np.full(len(offsets), key), np.full(len(offsets), block), _hashes(data[q - o : q - o + length] for o in offsets), np.array(offsets, np.int64)), strict=True):
+                        held.append(x)
+                yield _table(columns, "key long, block long, string long, offset int")
+
+    def wanted(which: str) -> DataFrame:
+        lists = distinct.where(which).groupBy("u").agg(F.collect_list(F.struct("key", "block")).alias("asked"))
+        return with_text(lists.join(asked, "u"))
+
+    few = wanted(f"kinds > 1 AND kinds <= {most_blocks}").mapInArrow(edges, "key long, block long, left binary, right binary").distinct()
+    many = wanted(f"kinds > {most_blocks}").mapInArrow(strings, "key long, block long, string long, offset int").distinct()
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, int, bytes, bytes]] = []
@@ -358,10 +383,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
 
     # Few bytes are much work here, so their number must not be left to their size.
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_order = told.where("offset < 0").select("key", "block", "left", "right").repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(order, "key long, block long, mask binary")
+    by_order = few.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(order, "key long, block long, mask binary")
 
     # 4. Single strings of classes with very many kinds.
-    hot = told.where("offset >= 0").select("key", "block", F.xxhash64("key", "offset", "string").alias("string"), "offset")
+    hot = many.select("key", "block", F.xxhash64("key", "offset", "string").alias("string"), "offset")
     twice = hot.groupBy("string").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("string")
     offsets = hot.join(twice, "string", "left_semi").groupBy("key", "block").agg(F.collect_set("offset").alias("offsets"))
     digits = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: F.when(F.array_contains("offsets", i), "1").otherwise("0"))
@@ -377,15 +402,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch)
-            done = [_keep_spans(t, f, bool(w), length) for t, f, w in zip(texts, batch.column("_found").to_pylist(), batch.column("_whole").to_pylist(), strict=True)]
-            sizes = [len(t) for t in texts]
-            extra = [pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, (k, _) in zip(sizes, done, strict=True)], pa.int64()), pa.array([r for _, r in done], pa.int64()), pa.array([k for k, _ in done], pa.binary())]
+            text = batch.column("text").cast(pa.binary())
+            kept = pc.coalesce(text, pa.scalar(b"", pa.binary()))
+            sizes = pc.binary_length(kept).cast(pa.int64())
+            found, whole_ = batch.column("_found"), pc.fill_null(batch.column("_whole"), False)
+            hit = pc.or_(pc.is_valid(found), whole_)
+            runs = np.zeros(len(batch), np.int64)
+            if pc.any(hit).as_py():  # other texts pass as they are
+                at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+                done = [_keep_spans(t, f, w, length) for t, f, w in zip(kept.take(at).to_pylist(), found.take(at).to_pylist(), whole_.take(at).to_pylist(), strict=True)]
+                runs[at] = [r for _, r in done]
+                kept = pc.replace_with_mask(kept, hit, pa.array([k for k, _ in done], pa.binary()))
+            removed = pc.subtract(sizes, pc.binary_length(kept).cast(pa.int64()))
             names = [*columns, "n_bytes", "n_removed", "n_spans", "kept"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], *extra], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], sizes, removed, pa.array(runs), kept], names=names)
 
     fields = [T.StructField(n, k) for n, k in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()))]
-    placed = known.join(removal, F.col("_u") == F.col("u"), "left").select(*columns, "_u", "_found", "_whole")
+    placed = known.join(removal.hint("shuffle_hash"), F.col("_u") == F.col("u"), "left").select(*columns, "_u", "_found", "_whole")
     return placed.mapInArrow(cut, T.StructType([*docs.schema.fields, *fields]))
 
 
