@@ -300,7 +300,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
 
     place = F.xxhash64("u", "q")
     found = known.where(long_enough).select("text", "_u").mapInArrow(find, "key long, u long, q int")
-    repeated = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
+    repeated = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
+    # As an expression the key is dealt out anew, so that a hot one's rows can be split in the join.
+    repeated = repeated.select(F.col("key").bitwiseXOR(1).bitwiseXOR(1).alias("key"))
     asked = found.join(repeated, "key", "left_semi").groupBy("u").agg(F.collect_set("q").alias("qs"))
 
     # 2. The blocks of the strings around them, equal ones aggregated.
