@@ -70,10 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), keyed AS (
-  SELECT doc_id, line, at,
+  SELECT doc_id, line, pos,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
@@ -81,12 +81,12 @@ WITH lines AS (
   SELECT key, count(DISTINCT doc_id) AS n_docs, max(doc_id) AS last_doc
   FROM keyed WHERE length(key) >= 40 GROUP BY key
 ), judged AS (
-  SELECT k.doc_id, k.line, k.at, coalesce(s.n_docs >= 5 AND s.last_doc <> k.doc_id, false) AS dropped
+  SELECT k.doc_id, k.line, k.pos, coalesce(s.n_docs >= 5 AND s.last_doc <> k.doc_id, false) AS dropped
   FROM keyed k LEFT JOIN spread s ON s.key = k.key
 )
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
        CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
 
