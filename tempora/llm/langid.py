@@ -197,12 +197,13 @@ def filter_languages(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Field = pickle.loads(shipped.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keep: list[bool] = []
-            for part in batches_of(pd.DataFrame({"text": pd.Series(texts, dtype=object)})):
-                keep += (label(model, list(part["text"]))[0] < len(model.langs)).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                keep: list[bool] = []
+                for part in batches_of(pd.DataFrame({"text": pd.Series(batch.column("text").to_pylist(), dtype=object)})):
+                    keep += (label(model, list(part["text"]))[0] < len(model.langs)).tolist()
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

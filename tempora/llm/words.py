@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WIDTH = 40  # code points of a word's form; longer words keep both ends
-BATCH_DOCS = 2048
-BATCH_CHARS = 6_000_000
+BATCH_DOCS = 1024
+BATCH_CHARS = 3_000_000
 TRAINING_BYTES = 20_000  # longer texts are not learned from (they are scored whole)
 
 
