@@ -216,7 +216,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 
 TABLES = 8  # fingerprints of the word set
 WIDE = 8  # 64-bit parts of the shingle fingerprint
-ALL_PAIRS = 2048
 _LANE = np.uint64(0x0101010101010101)
 
 
@@ -274,27 +273,28 @@ def _differing(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cell_pairs(sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one large cell that differ in at most ``most`` bits.
+def _cell_pairs(sig: np.ndarray, sure: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one large cell that differ in at most ``most`` bits, but for those that change nothing.
 
-    Up to ``ALL_PAIRS`` rows: all. Beyond, rows are taken as leaders in turn:
-    every row is compared with every leader, and a row that a leader links
-    leads no more. So the work is rows times leaders.
+    Rows within ``sure`` bits of a leader form its tree and are paired with it
+    only; any two rows of different trees are compared. So no pair that could
+    join two trees is lost, and many copies of one text cost rows, not pairs.
     """
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    led = np.zeros(len(sig), bool)
-    for i in range(len(sig)):
-        if not led[i]:
-            rest = sig[i + 1 :] if len(sig) <= ALL_PAIRS else sig
-            near = np.flatnonzero(np.bitwise_count(rest ^ sig[i]).sum(axis=1) <= most)
-            if len(sig) <= ALL_PAIRS:
-                near += i + 1
-            else:
-                led[near] = True
-                near = near[near != i]
-            left.append(np.full(len(near), i))
-            right.append(near)
-    return np.concatenate(left), np.concatenate(right)
+    tree, rest = np.full(len(sig), -1), np.arange(len(sig))
+    while len(rest):
+        near = np.bitwise_count(sig[rest] ^ sig[rest[0]]).sum(axis=1) <= sure
+        tree[rest[near]] = rest[0]
+        yield np.full(int(near.sum()) - 1, rest[0]), rest[near][1:]
+        rest = rest[~near]
+    order = np.argsort(tree, kind="stable")
+    own = sig[order]
+    ends = np.append(np.flatnonzero(np.diff(tree[order])) + 1, len(sig))
+    for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+        for x in range(lo, hi, 128):
+            for y in range(hi, len(sig), 4096):
+                a, b = np.nonzero(np.bitwise_count(own[x : min(x + 128, hi), None] ^ own[None, y : y + 4096]).sum(axis=2) <= most)
+                if len(a):
+                    yield order[a + x], order[b + y]
 
 
 def _sure_and_open(node: np.ndarray, cell: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray, sure: int) -> pd.DataFrame:
@@ -368,9 +368,9 @@ def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -
                 left.append(a[near])
                 right.append(b[near])
             for lo, hi in zip(starts[sizes > 24], ends[sizes > 24], strict=True):
-                a, b = _cell_pairs(sig[lo:hi], most_bits)
-                left.append(a + lo)
-                right.append(b + lo)
+                for a, b in _cell_pairs(sig[lo:hi], sure, most_bits):
+                    left.append(a + lo)
+                    right.append(b + lo)
             if left and sum(map(len, left)):
                 a, b = np.concatenate(left), np.concatenate(right)
                 yield _sure_and_open(node, cell, a, b, _differing(sig, a, b), sure)

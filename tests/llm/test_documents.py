@@ -173,6 +173,30 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i % 100 in (0, 9))
 
 
+def test_a_large_cell_loses_no_link(spark):
+    rng = np.random.default_rng(3)
+    rows = np.zeros((2400, 512), np.uint8)
+    for row in rows[1:2300]:  # near the leader
+        row[rng.choice(512, 12, replace=False)] = 1
+    for row in rows[2300:]:  # as far from it as only an exact check can tell, but near each other
+        row[:80] = 1
+        row[rng.choice(np.arange(80, 512), 8, replace=False)] = 1
+    marks = np.packbits(rows, axis=1)
+    df = spark.createDataFrame([(i, bytes(64), m.tobytes()) for i, m in enumerate(marks)], "node long, word_mark binary, shingle_mark binary")
+    found = simhash.similar_links(df, 56, 100, 0).collect()
+    parent = list(range(2400))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in found:
+        if r["sure"]:
+            parent[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
+    assert {find(i) for i in range(2400)} == {0, 2300}
+
+
 # -- tokens ----------------------------------------------------------------------
 
 
