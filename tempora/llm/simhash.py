@@ -31,6 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tempora.llm.common import durable
 from tempora.llm.components import components, local_forest
@@ -216,6 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 
 TABLES = 8  # fingerprints of the word set
 WIDE = 8  # 64-bit parts of the shingle fingerprint
+PAIRS_OUT = 1 << 20  # pairs of large cells judged at once
 _LANE = np.uint64(0x0101010101010101)
 
 
@@ -297,27 +299,23 @@ def _cell_pairs(sig: np.ndarray, sure: int, most: int) -> Iterator[tuple[np.ndar
                     yield order[a + x], order[b + y]
 
 
-def _sure_and_open(node: np.ndarray, cell: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray, sure: int) -> pd.DataFrame:
-    """Forest of the sure links, and for each two trees of a cell the likeliest of the open ones."""
+def _sure_and_open(node: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray, sure: int) -> pd.DataFrame:
+    """Forest of the sure links, and all open ones between its trees."""
     clear = bits <= sure
     u, v = local_forest(node[a[clear]], node[b[clear]])
-    out = [pd.DataFrame({"a": u, "b": v, "sure": True})]
+    out = [pd.DataFrame({"a": u, "b": v, "bits": 0})]
     if not clear.all():
         root = dict(zip(u.tolist(), v.tolist(), strict=True))
-        a, b, bits = a[~clear], b[~clear], bits[~clear]
-        x, y = node[a], node[b]
-        p = np.array([root.get(i, i) for i in x.tolist()], np.int64)
-        q = np.array([root.get(i, i) for i in y.tolist()], np.int64)
-        found = pd.DataFrame({"a": x, "b": y, "p": np.minimum(p, q), "q": np.maximum(p, q), "cell": cell[a], "bits": bits})
-        found = found[found["p"] != found["q"]].sort_values(["bits", "a", "b"]).drop_duplicates(["cell", "p", "q"])
-        out.append(found[["a", "b"]].assign(sure=False))
+        x, y = node[a[~clear]], node[b[~clear]]
+        apart = np.array([root.get(i, i) != root.get(j, j) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        out.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "bits": bits[~clear]})[apart].drop_duplicates())
     return pd.concat(out)
 
 
 def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -> DataFrame:
-    """``a, b, sure``: links of nodes (``node, word_mark, shingle_mark``) that meet at an anchor and are similar.
+    """``a, b, bits``: links of nodes (``node, word_mark, shingle_mark``) that meet at an anchor and are similar.
 
-    Up to ``sure`` differing bits they are; up to ``most_bits`` an exact check must tell.
+    Up to ``sure`` differing bits they are (``bits`` is 0); up to ``most_bits`` an exact check must tell.
 
     Which anchors are anybody's home is told to all tasks as a bitmap, whose size is fixed
     (``TABLES`` times 2^24 bits), so replicas that would meet nobody are not sent.
@@ -367,13 +365,24 @@ def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -
                 near = _differing(sig, a, b) <= most_bits
                 left.append(a[near])
                 right.append(b[near])
+
+            def told() -> Iterator[pd.DataFrame]:
+                if sum(map(len, left)):
+                    a, b = np.concatenate(left), np.concatenate(right)
+                    yield _sure_and_open(node, a, b, _differing(sig, a, b), sure)
+                    left.clear()
+                    right.clear()
+
             for lo, hi in zip(starts[sizes > 24], ends[sizes > 24], strict=True):
+                held_pairs = 0
                 for a, b in _cell_pairs(sig[lo:hi], sure, most_bits):
                     left.append(a + lo)
                     right.append(b + lo)
-            if left and sum(map(len, left)):
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield _sure_and_open(node, cell, a, b, _differing(sig, a, b), sure)
+                    held_pairs += len(a)
+                    if held_pairs >= PAIRS_OUT:
+                        yield from told()
+                        held_pairs = 0
+            yield from told()
 
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -384,7 +393,7 @@ def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -
         if held is not None and len(held):
             yield from links_of(held)
 
-    return dealt.mapInPandas(compare, "a long, b long, sure boolean")
+    return dealt.mapInPandas(compare, "a long, b long, bits long")
 
 
 def exactly_similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -405,6 +414,29 @@ def exactly_similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: f
     return pairs.join(x, "a").join(y, "b").where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def confirmed(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``node, root`` of what the sure links of ``found`` (``a, b, bits``) and those open ones connect that an exact check confirms.
+
+    The likeliest open link of two classes is checked first, and more of them
+    in each round, until every one is checked or lies within a class.
+    """
+    links = found.where("bits = 0").select("a", "b")
+    roots, left, most = components(links), found.where("bits > 0"), 1
+    while True:
+        for end, root in (("a", "p"), ("b", "q")):
+            left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
+        left = durable(left.where("p <> q").select("a", "b", "bits", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
+        if left.isEmpty():
+            return roots
+        order = Window.partitionBy("p", "q").orderBy("bits", "a", "b")
+        now = durable(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("a", "b"))
+        passed = durable(exactly_similar(docs, now, words, similarity))
+        if not passed.isEmpty():
+            links = links.unionByName(passed)
+            roots = components(links)
+        left, most = left.join(now, ["a", "b"], "left_anti").select("a", "b", "bits"), most * 64
+
+
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: each class keeps its smallest ``doc_id``.
 
@@ -421,9 +453,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, thresho
     marked = slim.mapInPandas(mark, "doc_id long, word_mark binary, shingle_mark binary")
     nodes = durable(marked.groupBy("word_mark", "shingle_mark").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
     cut, slack = bits_for(similarity), round(2.5 * np.sqrt(bits_for(similarity)))
-    found = durable(similar_links(nodes, cut - slack, cut + slack, threshold))
-    checked = exactly_similar(slim, found.where("NOT sure").select("a", "b"), words, similarity)
-    roots = components(found.where("sure").select("a", "b").unionByName(checked))
+    found = durable(similar_links(nodes, cut - slack, cut + slack, threshold).groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    roots = confirmed(slim, found, words, similarity)
     # What stays: the first id of each set of equal fingerprints that is its class's root.
     stay = nodes.select("node").join(roots, "node", "left_anti").select(F.col("node").alias("doc_id"))
     return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)

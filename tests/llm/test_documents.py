@@ -192,11 +192,28 @@ def test_a_large_cell_loses_no_link(spark):
         return i
 
     for r in found:
-        if r["sure"]:
+        if r["bits"] == 0:
             parent[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
     assert {find(i) for i in range(2400)} == {0, 2300}
 
 
+def test_open_links_of_two_classes_are_all_checked(spark):
+    held = lambda t: simhash.shingle_hashes(t.encode().split(), 5)
+    jaccard = lambda a, b: len(held(a) & held(b)) / len(held(a) | held(b))
+    body = [f"word{i}" for i in range(240)]
+    first, second = " ".join(body + [f"a{i}" for i in range(25)]), " ".join(body + [f"b{i}" for i in range(40)])
+    near = " ".join(body + [f"b{i}" for i in range(20)])  # the second's copy, nearer to the first
+    rows = [(1, first), (2, second), (3, near)]
+    assert jaccard(first, second) < 0.8 <= min(jaccard(first, near), jaccard(second, near))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # What fingerprints say of these: 2 and 3 are sure, and the unlike pair seems the likelier one.
+    found = spark.createDataFrame([(2, 3, 0), (1, 2, 70), (1, 3, 71)], "a long, b long, bits long")
+    got = simhash.confirmed(df, found, 5, 0.8).collect()
+    assert sorted((r.node, r.root) for r in got) == [(2, 1), (3, 1)]
+    out = simhash._sure_and_open(np.array([1, 2, 3]), np.array([1, 0, 0]), np.array([2, 1, 2]), np.array([10, 70, 71]), 56)
+    assert len(out) == 3
+
+
 # -- tokens ----------------------------------------------------------------------
 
 
