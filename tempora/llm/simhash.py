@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -442,8 +442,16 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, thresho
 
     A class is what links of ``similarity`` or more (shingles of ``words`` words)
     connect. Texts without words are copies of each other. Of rows with one id
-    all stay or all go; a null id stays only where its class has no other.
+    all stay or all go; a null id stays only where its class has no other, and
+    then in one row.
     """
+    @F.pandas_udf("binary")
+    def both(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: b"".join(word_and_shingle_marks(t, words)))
+
+    def key(*marks: str) -> Column:
+        return F.xxhash64(F.concat(*marks))
+
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             marks = [word_and_shingle_marks(t, words) for t in batch["text"]]
@@ -451,10 +459,15 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, thresho
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = slim.mapInPandas(mark, "doc_id long, word_mark binary, shingle_mark binary")
-    nodes = durable(marked.groupBy("word_mark", "shingle_mark").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
+    nodes = durable(marked.groupBy("word_mark", "shingle_mark").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.coalesce("doc_id", key("word_mark", "shingle_mark"))))
+    nameless = docs.where("doc_id IS NULL").withColumn("_marks", both("text")).withColumn("_node", key("_marks"))
+    texts = slim.where("doc_id IS NOT NULL").unionByName(nameless.select(F.col("_node").alias("doc_id"), "text"))
     cut, slack = bits_for(similarity), round(2.5 * np.sqrt(bits_for(similarity)))
     found = durable(similar_links(nodes, cut - slack, cut + slack, threshold).groupBy("a", "b").agg(F.min("bits").alias("bits")))
-    roots = confirmed(slim, found, words, similarity)
-    # What stays: the first id of each set of equal fingerprints that is its class's root.
-    stay = nodes.select("node").join(roots, "node", "left_anti").select(F.col("node").alias("doc_id"))
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    roots = confirmed(texts, found, words, similarity)
+    classes = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("_node"))
+    kept = docs.join(classes.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # Of a class without an id, one row.
+    order = Window.partitionBy("_node").orderBy(F.xxhash64("text"), F.to_json(F.struct(*docs.columns)))
+    alone = nameless.join(classes.where("doc_id IS NULL").select("_node"), "_node", "left_semi").withColumn("_n", F.row_number().over(order))
+    return kept.unionByName(alone.where("_n = 1").select(*docs.columns))
