@@ -10,8 +10,8 @@ every anchor within covering radius plus threshold in that sense, and compared,
 at each anchor, with the fingerprints that are at home there.
 
 ``keep_first`` decides by similarity instead of bits. Near copies are found by
-the words they hold: several fingerprints of the word set, each dealt to its anchors,
-where a wide fingerprint of the word shingles (its bits estimate the angle
+the word shingles they hold: several fingerprints of the shingle set, each dealt to its
+anchors, where a wide fingerprint of the shingles (its bits estimate the angle
 between shingle sets, and so their Jaccard similarity) decides.
 
 Equal fingerprints are one node from the start, so copies cost nothing. Many
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 
 # -- near copies by similarity ---------------------------------------------------
 
-TABLES = 8  # fingerprints of the word set
-WIDE = 8  # 64-bit parts of the shingle fingerprint
+TABLES = 25  # fingerprints dealt to anchors, of the 46 bits an anchor looks at
+PARTS = 18  # 64-bit parts of the shingle fingerprint, which the tables divide among them
+WIDE = 8  # the first of them, by which rows that meet are compared
 PAIRS_OUT = 1 << 20  # pairs of large cells judged at once
 _LANE = np.uint64(0x0101010101010101)
 
@@ -234,13 +235,14 @@ def wide_fingerprint(hashes: np.ndarray, parts: int) -> bytes:
     n = len(hashes)
     if not n:
         return bytes(8 * parts)
-    x = _mixed(hashes, parts)
-    rows = -(-n // 255)
-    x = np.pad(x, ((0, 0), (0, rows * 255 - n))).reshape(parts, rows, 255)
-    ones = np.empty((parts, 8, 8), np.int64)
-    for bit in range(8):  # eight counters at a time, one in each byte
-        lanes = ((x >> np.uint64(bit)) & _LANE).sum(axis=2, dtype=np.uint64)
-        ones[:, :, bit] = lanes.view(np.uint8).reshape(parts, rows, 8).sum(axis=1, dtype=np.int64)
+    ones = np.zeros((parts, 8, 8), np.int64)
+    for at in range(0, n, 255 * 256):
+        x = _mixed(hashes[at : at + 255 * 256], parts)
+        rows = -(-x.shape[1] // 255)
+        x = np.pad(x, ((0, 0), (0, rows * 255 - x.shape[1]))).reshape(parts, rows, 255)
+        for bit in range(8):  # eight counters at a time, one in each byte
+            lanes = ((x >> np.uint64(bit)) & _LANE).sum(axis=2, dtype=np.uint64)
+            ones[:, :, bit] += lanes.view(np.uint8).reshape(parts, rows, 8).sum(axis=1, dtype=np.int64)
     return np.packbits(ones.reshape(parts, 64) * 2 > n, axis=1, bitorder="little").tobytes()
 
 
@@ -255,12 +257,17 @@ def shingle_hashes(tokens: list[bytes], words: int) -> set[int]:
     return {digest(joined[a:b], SEED) for a, b in zip(starts[: -words + 1 or None].tolist(), ends[words - 1 :].tolist(), strict=True)}
 
 
-def word_and_shingle_marks(text: str | None, words: int) -> tuple[bytes, bytes]:
-    """Fingerprints of a text's set of words and of its set of word shingles."""
-    tokens = (text or "").encode().lower().split()
-    of_words = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in set(tokens)), np.uint64)
-    shingles = shingle_hashes(tokens, words)
-    return wide_fingerprint(of_words, TABLES), wide_fingerprint(np.fromiter(shingles, np.uint64, len(shingles)), WIDE)
+def shingle_mark(text: str | None, words: int) -> bytes:
+    """Fingerprint of a text's set of word shingles."""
+    shingles = shingle_hashes((text or "").encode().lower().split(), words)
+    return wide_fingerprint(np.fromiter(shingles, np.uint64, len(shingles)), PARTS)
+
+
+def table_marks(marks: pd.Series) -> np.ndarray:
+    """The fingerprints for each table, one row for each mark."""
+    bits = np.unpackbits(np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), 8 * PARTS), axis=1, bitorder="little")
+    bits = bits[:, : TABLES * 2 * BLOCK].reshape(len(marks), TABLES, 2 * BLOCK)
+    return np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, 64 - 2 * BLOCK))), axis=2, bitorder="little").view("<i8")[:, :, 0]
 
 
 def bits_for(similarity: float) -> int:
@@ -313,7 +320,7 @@ def _sure_and_open(node: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndar
 
 
 def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -> DataFrame:
-    """``a, b, bits``: links of nodes (``node, word_mark, shingle_mark``) that meet at an anchor and are similar.
+    """``a, b, bits``: links of nodes (``node, mark``) that meet at an anchor and are similar.
 
     Up to ``sure`` differing bits they are (``bits`` is 0); up to ``most_bits`` an exact check must tell.
 
@@ -322,11 +329,11 @@ def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -
     """
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            marks = np.frombuffer(b"".join(batch["word_mark"]), "<i8").reshape(-1, TABLES)
+            marks = table_marks(batch["mark"])
             for t in range(TABLES):
                 yield pd.DataFrame({"cell": anchors(np.ascontiguousarray(marks[:, t]), 0)[1] | t << 24})
 
-    cells = nodes.select("word_mark").mapInPandas(homes, "cell long")
+    cells = nodes.select("mark").mapInPandas(homes, "cell long")
     # A bitmap's first bucket begins at 1.
     parts = cells.groupBy(F.bitmap_bucket_number(F.col("cell") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits")).collect()
     occupied = np.zeros((TABLES << 24) // 8, np.uint8)
@@ -340,12 +347,12 @@ def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -
         for batch in batches:
             for s in range(0, len(batch), 4096):
                 part = batch.iloc[s : s + 4096]
-                marks = np.frombuffer(b"".join(part["word_mark"]), "<i8").reshape(-1, TABLES)
+                marks, wide = table_marks(part["mark"]), np.array([m[: 8 * WIDE] for m in part["mark"]], object)
                 for t in range(TABLES):
                     at, cell, _ = anchors(np.ascontiguousarray(marks[:, t]), threshold)
                     cell = cell | t << 24
                     met = (taken[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-                    yield pd.DataFrame({"cell": cell[met].astype(np.int32), "node": part["node"].to_numpy()[at[met]], "mark": part["shingle_mark"].to_numpy()[at[met]]})
+                    yield pd.DataFrame({"cell": cell[met].astype(np.int32), "node": part["node"].to_numpy()[at[met]], "mark": wide[at[met]]})
 
     dealt = nodes.mapInPandas(replicate, "cell int, node long, mark binary").repartition("cell").sortWithinPartitions("cell")
 
@@ -447,20 +454,16 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, thresho
     """
     @F.pandas_udf("binary")
     def both(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: b"".join(word_and_shingle_marks(t, words)))
-
-    def key(*marks: str) -> Column:
-        return F.xxhash64(F.concat(*marks))
+        return texts.map(lambda t: shingle_mark(t, words))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            marks = [word_and_shingle_marks(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "word_mark": [m[0] for m in marks], "shingle_mark": [m[1] for m in marks]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": [shingle_mark(t, words) for t in batch["text"]]})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = slim.mapInPandas(mark, "doc_id long, word_mark binary, shingle_mark binary")
-    nodes = durable(marked.groupBy("word_mark", "shingle_mark").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.coalesce("doc_id", key("word_mark", "shingle_mark"))))
-    nameless = docs.where("doc_id IS NULL").withColumn("_marks", both("text")).withColumn("_node", key("_marks"))
+    marked = slim.mapInPandas(mark, "doc_id long, mark binary")
+    nodes = durable(marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.coalesce("doc_id", F.xxhash64("mark"))))
+    nameless = docs.where("doc_id IS NULL").withColumn("_marks", both("text")).withColumn("_node", F.xxhash64("_marks"))
     texts = slim.where("doc_id IS NOT NULL").unionByName(nameless.select(F.col("_node").alias("doc_id"), "text"))
     cut, slack = bits_for(similarity), round(2.5 * np.sqrt(bits_for(similarity)))
     found = durable(similar_links(nodes, cut - slack, cut + slack, threshold).groupBy("a", "b").agg(F.min("bits").alias("bits")))

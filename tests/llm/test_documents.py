@@ -182,7 +182,7 @@ def test_a_large_cell_loses_no_link(spark):
         row[:80] = 1
         row[rng.choice(np.arange(80, 512), 8, replace=False)] = 1
     marks = np.packbits(rows, axis=1)
-    df = spark.createDataFrame([(i, bytes(64), m.tobytes()) for i, m in enumerate(marks)], "node long, word_mark binary, shingle_mark binary")
+    df = spark.createDataFrame([(i, m.tobytes() + bytes(80)) for i, m in enumerate(marks)], "node long, mark binary")
     found = simhash.similar_links(df, 56, 100, 0).collect()
     parent = list(range(2400))
 
@@ -197,6 +197,16 @@ def test_a_large_cell_loses_no_link(spark):
     assert {find(i) for i in range(2400)} == {0, 2300}
 
 
+def test_copies_with_a_quarter_appended_are_found(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(300):
+        body = [f"w{rnd.randrange(10**9)}" for _ in range(304)]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(body + [f"v{rnd.randrange(10**9)}" for _ in range(74 - i % 10)]))]  # J 0.80 to 0.82
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r.doc_id % 2 for r in kept.select("doc_id").collect()) <= 6
+
+
 def test_open_links_of_two_classes_are_all_checked(spark):
     held = lambda t: simhash.shingle_hashes(t.encode().split(), 5)
     jaccard = lambda a, b: len(held(a) & held(b)) / len(held(a) | held(b))
