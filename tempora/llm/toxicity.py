@@ -27,6 +27,7 @@ DECAY = 0.7
 FLOOR = 0.3  # similarities below are taken as none
 LANDMARKS = 48
 PER_LABEL = 1500  # documents learned from, of each label
+WIDTH = 24  # of the pieces that longer words are read in, short enough for an insult inside to show
 POWER = 2  # of the normalised kernel, which is a kernel again
 STEMS = (4, 5, 6, 7)
 LEAST_DOCUMENTS = 3  # toxic documents a landmark is found in
@@ -132,7 +133,7 @@ class Scorer:
 
     def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Text and similarities of every sentence that has any."""
-        words = Words(texts, join_letters=True)
+        words = Words(texts, join_letters=True, width=WIDTH)
         if not len(words.at) or not self.landmarks:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)))
         near = similarities(words.forms, self.landmarks, self.own)
@@ -142,8 +143,12 @@ class Scorer:
         hits = np.flatnonzero((near > 0).any(axis=1)[words.at])
         if not len(hits):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)))
+        # A word counts once, however many of its pieces are similar.
+        word = np.cumsum(words.first)[hits]
+        own = np.flatnonzero(np.diff(word, prepend=-1))
+        of_word, hits = np.maximum.reduceat(near[words.at[hits]], own, axis=0), hits[own]
         cuts = np.flatnonzero(np.diff(sentence[hits], prepend=-1))
-        return text[hits][cuts], np.add.reduceat(near[words.at[hits]], cuts, axis=0)
+        return text[hits][cuts], np.add.reduceat(of_word, cuts, axis=0)
 
     def decide(self, near: np.ndarray) -> np.ndarray:
         return near @ self.map @ self.weights + self.bias

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WIDTH = 40  # code points of a word's form; longer words keep both ends
+WIDTH = 40  # code points of a word's form; longer words are read in pieces
 BATCH_DOCS = 1024
 BATCH_CHARS = 3_000_000
 TRAINING_BYTES = 20_000  # longer texts are not learned from (they are scored whole)
@@ -31,20 +31,47 @@ def batches_of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield frame.iloc[start:]
 
 
+def pieces(word: str, width: int) -> list[str]:
+    """The letters of a word longer than ``width``, in pieces of that many that overlap by half.
+
+    The last one ends as the word does. Without letters, the word's end stands for it.
+    """
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = points[_alpha(points)]
+    if not len(points):
+        return [word[-width:]]
+    letters = points.tobytes().decode("utf-32-le", "surrogatepass")
+    step = width // 2
+    out = [letters[i : i + width - 1] for i in range(0, max(1, len(letters) - (width - 1 - step)), step)]
+    out[-1] += word[-1] if word[-1] in ".!?" else ""
+    return out
+
+
 class Words:
-    """``at``: each word's index into ``forms``; ``lengths``: words in each text."""
+    """``at``: each word's index into ``forms``; ``lengths``: words in each text.
 
-    def __init__(self, texts: list[str | None], join_letters: bool = False) -> None:
+    Words longer than ``width`` stand as their pieces; ``first`` tells where a word begins.
+    """
+
+    def __init__(self, texts: list[str | None], join_letters: bool = False, width: int = WIDTH) -> None:
         index: defaultdict[str, int] = defaultdict()
         index.default_factory = index.__len__
-        parts, lengths = [], []
+        parts, lengths, firsts = [], [], []
         for text in texts:
             words = (text or "").lower().split()
             if join_letters:
                 words = joined_letters(words)
+            first = np.ones(len(words), bool)
+            if any(len(w) > width for w in words):
+                cut = [pieces(w, width) if len(w) > width else [w] for w in words]
+                first = np.zeros(sum(map(len, cut)), bool)
+                first[np.cumsum([0, *map(len, cut[:-1])])] = True
+                words = [x for w in cut for x in w]
+            firsts.append(first)
             parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
             lengths.append(len(words))
         self.at = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.first = np.concatenate(firsts) if firsts else np.zeros(0, bool)
         self.lengths = np.array(lengths, np.int64)
         self.forms = list(index)
 
@@ -67,14 +94,17 @@ def _letters() -> np.ndarray:
 
 
 def code_points(forms: list[str]) -> np.ndarray:
-    """Code points of the words, one row each, zero behind the end."""
-    cut = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-WIDTH // 2 :] for w in forms]
-    return np.array(cut, f"U{WIDTH}").view(np.uint32).reshape(len(cut), WIDTH)
+    """Code points of the words (``WIDTH`` at most), one row each, zero behind the end."""
+    return np.array(forms, f"U{WIDTH}").view(np.uint32).reshape(len(forms), WIDTH)
+
+
+def _alpha(points: np.ndarray) -> np.ndarray:
+    return np.where(points < 1 << 16, _letters()[np.minimum(points, (1 << 16) - 1)], points > 0)
 
 
 def letters_only(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letters moved to the front of each row, and how many there are."""
-    alpha = np.where(points < 1 << 16, _letters()[np.minimum(points, (1 << 16) - 1)], points > 0)
+    alpha = _alpha(points)
     order = np.argsort(~alpha, axis=1, kind="stable")
     n = alpha.sum(axis=1)
     front = np.take_along_axis(points, order, 1)

@@ -139,3 +139,16 @@ def test_toxicity(spoken, tricky, nothing):
     odd = toxicity.score_documents(tricky, scorer).toPandas()
     assert len(odd) == tricky.count() and odd.score.between(0, 1).all()
     assert toxicity.score_documents(nothing, toxicity.learn(nothing, labels.limit(0))).count() == 0
+
+
+def test_long_words_are_read_whole():
+    import pandas as pd
+
+    from tempora.llm.words import Words, pieces
+
+    digits = "1" * 25
+    sample = pd.DataFrame({"text": ["the cat sat on the mat and went home"] * 9 + ["le chat est sur la table et il dort"] * 9, "lang": ["en"] * 9 + ["fr"] * 9})
+    field = langid.train(sample)
+    assert langid.label(field, [digits + "thecatsatonthemat" + digits, digits * 3])[0].tolist()[0] < 2
+    assert langid.label(field, [digits * 3])[0].tolist() == [2]
+    assert "q" in "".join(pieces("a" * 500 + "q" + "a" * 500, 40)) and len(Words(["ab" * 400 + "."]).forms[-1]) <= 40
