@@ -24,7 +24,9 @@ from tempora.llm.words import Words, batches_of, code_points, letters_only, trai
 
 ORDER = 3
 DECAY = 0.7
-FLOOR = 0.3  # similarities below are taken as none
+FLOOR = 0.3  # similarities below are taken as none, unless all letters are there
+CLEAR = 0.75  # of a landmark's own kernel, to be found inside a word of more than LONG letters
+LONG = 16
 LANDMARKS = 48
 PER_LABEL = 1500  # documents learned from, of each label
 WIDTH = 24  # of the pieces that longer words are read in, short enough for an insult inside to show
@@ -79,7 +81,10 @@ def similarities(forms: list[str], landmarks: list[str], own: np.ndarray) -> np.
     """Normalised kernel of each form with each landmark; below ``FLOOR`` zero.
 
     A form is compared with a landmark only if it has all but one of its letters in
-    their order (one more may be missing for every eight).
+    their order (one more may be missing for every eight). A form of up to twice as many
+    letters that has them all, with no more than one between any two, has no floor: a letter
+    in every gap is as good as none. One of more than ``LONG`` letters that has them nearly
+    side by side is measured by the landmark alone.
     """
     out = np.zeros((len(forms), len(landmarks)))
     points, _ = letters_only(code_points(forms))
@@ -89,11 +94,15 @@ def similarities(forms: list[str], landmarks: list[str], own: np.ndarray) -> np.
         part = part[:, : int((part > 0).any(axis=0).sum())]
         held = {c: (part == c).any(axis=1) for c in alphabet}
         close: list[np.ndarray] = []
+        whole: list[np.ndarray] = []
         for landmark in landmarks:
             letters = np.array([ord(c) for c in landmark], np.uint32)
             distinct = np.unique(letters)
             maybe = np.flatnonzero(sum(held[c].astype(np.int8) for c in distinct.tolist()) >= min(len(distinct), max(2, len(distinct) - 1)))
-            close.append(maybe[_in_order(part[maybe], letters) >= max(ORDER, len(letters) - 1 - len(letters) // 8)])
+            shared = _in_order(part[maybe], letters)
+            near = shared >= max(ORDER, len(letters) - 1 - len(letters) // 8)
+            close.append(maybe[near])
+            whole.append(shared[near] == len(letters))
         which = np.unique(np.concatenate(close)) if close else np.zeros(0, np.int64)
         selves = np.zeros(len(part))
         selves[which] = np.maximum(self_kernel(part[which]), 1e-12)
@@ -101,8 +110,13 @@ def similarities(forms: list[str], landmarks: list[str], own: np.ndarray) -> np.
             if len(maybe):
                 chosen = part[maybe]
                 chosen = chosen[:, : int((chosen > 0).any(axis=0).sum())]
-                k = kernel(chosen, np.array([ord(c) for c in landmark], np.uint32)) / np.sqrt(selves[maybe] * own[i])
-                out[start + maybe, i] = np.where(k >= FLOOR, k, 0.0) ** POWER
+                k = kernel(chosen, np.array([ord(c) for c in landmark], np.uint32))
+                even, held_by = k / np.sqrt(selves[maybe] * own[i]), k / own[i]
+                gapped = kernel(np.array([[ord(c) for x in landmark for c in (x, "\0")]], np.uint32), np.array([ord(c) for c in landmark], np.uint32)) / own[i]
+                stretched = ((chosen > 0).sum(axis=1) <= 2 * len(landmark)) & _with_single_gaps(chosen, np.array([ord(c) for c in landmark], np.uint32))
+                even = np.where(even >= FLOOR, even, 0.0)
+                even = np.where(stretched, np.maximum(even, np.minimum(held_by / gapped, 1.0)), np.where(whole[i] & (held_by >= CLEAR) & ((chosen > 0).sum(axis=1) > LONG), np.minimum(held_by, 1.0), even))
+                out[start + maybe, i] = even**POWER
     return out
 
 
@@ -118,6 +132,15 @@ def _in_order(words: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return table[-1]
 
 
+def _with_single_gaps(words: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Whether each word has the letters in order, at most one other letter between two."""
+    at = words == letters[0]
+    for c in letters[1:]:
+        one = np.pad(at, ((0, 0), (1, 0)))[:, :-1]
+        at = (words == c) & (one | np.pad(at, ((0, 0), (2, 0)))[:, :-2])
+    return at.any(axis=1)
+
+
 class Scorer:
     """Landmarks, their Nystroem map, and the machine trained on it."""
 
@@ -206,9 +229,9 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
 
 
 def bendings(word: str) -> list[str]:
-    """The word as a sentence of its own: plain, with a letter doubled, and with letters put in."""
+    """The word as a sentence of its own: plain, with a letter doubled, and with letters put in, up to one in every gap."""
     mid = len(word) // 2
-    return [word, word[:mid] + word[mid] + word[mid:], word[:mid] + "x" + word[mid:], word[: mid - 1] + "q" + word[mid - 1 : mid + 1] + "z" + word[mid + 1 :]]
+    return [word, word[:mid] + word[mid] + word[mid:], word[:mid] + "x" + word[mid:], word[: mid - 1] + "q" + word[mid - 1 : mid + 1] + "z" + word[mid + 1 :], "x".join(word)]
 
 
 def train(sample: pd.DataFrame, rounds: int = 400, penalty: float = 1e-3) -> Scorer:

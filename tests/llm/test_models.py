@@ -152,3 +152,21 @@ def test_long_words_are_read_whole():
     assert langid.label(field, [digits + "thecatsatonthemat" + digits, digits * 3])[0].tolist()[0] < 2
     assert langid.label(field, [digits * 3])[0].tolist() == [2]
     assert "q" in "".join(pieces("a" * 500 + "q" + "a" * 500, 40)) and len(Words(["ab" * 400 + "."]).forms[-1]) <= 40
+    toxic = ["you are an idiot", "what an idiot he is", "idiot and moron", "go away moron", "such a moron"] * 8
+    clean = ["the cat sat on the mat", "we went home at night", "a fine day for a walk"] * 14
+    scorer = toxicity.train(pd.DataFrame({"text": toxic + clean, "toxic": [1] * len(toxic) + [0] * len(clean)}))
+    filler = "wehavegonehometoday" * 4
+    plain, inside = scorer.scores([filler + filler, filler + "idiot" + filler])
+    assert inside > 0.5 > plain
+
+
+def test_a_letter_in_every_gap_is_tolerated():
+    import pandas as pd
+
+    insults = ["idiot", "moron", "stupid", "pathetic", "scum", "loser"]
+    toxic = [f"you are a {w} today" for w in insults for _ in range(40)]
+    clean = ["the cat sat on the mat", "we went home at night", "a fine day for a walk today"] * 300
+    scorer = toxicity.train(pd.DataFrame({"text": toxic + clean, "toxic": [1] * len(toxic) + [0] * len(clean)}))
+    for word in insults:
+        assert min(scorer.scores([f"we met {c.join(word)} again" for c in "xqz"])) > 0.5, word
+    assert scorer.scores(["we met again", "a summit of closed roads"]).max() < 0.5
