@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.words import Words, batches_of, code_points, letters_only, training_rows
+from tempora.llm.words import Words, batches_of, code_points, fit_to_learn, letters_only, training_rows
 
 BUCKETS = 1 << 17
 PER_LANGUAGE = 400  # documents learned from, of each language
@@ -176,6 +176,12 @@ def label(model: Field, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
     return best, score
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any word of the text has a letter."""
+    forms = Words([text]).forms
+    return bool(forms) and bool(letters_only(code_points(forms))[1].any())
+
+
 def predict_languages(docs: DataFrame, field: Field) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row; ``und`` and 0 where the text has no letter."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(field, protocol=5))
@@ -192,7 +198,7 @@ def predict_languages(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def filter_languages(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language; texts without a letter go."""
+    """The rows of ``docs``, all columns, whose text has a language; texts without a letter go (only they, if no language was learned)."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(field, protocol=5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +208,9 @@ def filter_languages(docs: DataFrame, field: Field) -> DataFrame:
                 batch = whole.slice(at, 512)
                 keep: list[bool] = []
                 for part in batches_of(pd.DataFrame({"text": pd.Series(batch.column("text").to_pylist(), dtype=object)})):
-                    keep += (label(model, list(part["text"]))[0] < len(model.langs)).tolist()
+                    texts = list(part["text"])
+                    # Without a language learned, only texts without a letter go.
+                    keep += (label(model, texts)[0] < len(model.langs)).tolist() if model.langs else [has_letter(t) for t in texts]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -215,7 +223,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field:
     """The field fitted to at most ``per_language`` documents of each non-null ``lang``, held-out ones apart."""
-    keys = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+    keys = docs.where(~held_out() & fit_to_learn()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
     return train(training_rows(keys, docs, "lang", per_language))
 
 

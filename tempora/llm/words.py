@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,17 +111,23 @@ def letters_only(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(np.arange(points.shape[1]) < n[:, None], front, 0), n
 
 
+def fit_to_learn() -> Column:
+    """Rows whose ``text`` is neither empty nor very long."""
+    return (F.octet_length("text") <= TRAINING_BYTES) & (F.length(F.trim("text")) > 0)
+
+
 def training_rows(keys: DataFrame, docs: DataFrame, label: str, most: int) -> pd.DataFrame:
     """``text`` and label of at most ``most`` rows of each label, chosen by a hash of the id.
 
     ``keys`` has ``doc_id`` and the label. Ids are chosen without texts, and the texts of
     those few are picked out where they lie, so no text is shuffled to choose. Empty and
-    very long texts are left out of what was chosen.
+    very long texts are left out; where ``keys`` come with texts, ``fit_to_learn`` leaves them
+    out before the choice.
     """
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     keys = keys.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
     chosen = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", label).distinct().toPandas()
     picked = docs.sparkSession.createDataFrame([(int(i),) for i in chosen["doc_id"].unique()], "doc_id long")
-    fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((F.octet_length("text") <= TRAINING_BYTES) & (F.length(F.trim("text")) > 0))
+    fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fit_to_learn())
     texts = fit.join(F.broadcast(picked), "doc_id").toPandas()
     return texts.drop_duplicates("doc_id").merge(chosen.drop_duplicates("doc_id"), on="doc_id").sort_values("doc_id").reset_index(drop=True)

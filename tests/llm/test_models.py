@@ -170,3 +170,15 @@ def test_a_letter_in_every_gap_is_tolerated():
     for word in insults:
         assert min(scorer.scores([f"we met {c.join(word)} again" for c in "xqz"])) > 0.5, word
     assert scorer.scores(["we met again", "a summit of closed roads"]).max() < 0.5
+
+
+def test_languages_of_odd_corpora(spark):
+    from tempora.llm.words import TRAINING_BYTES
+
+    unlabelled = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.filter_languages(unlabelled, langid.learn(unlabelled)).collect()] == [1]
+    rows = [(i, "word " * TRAINING_BYTES if i % 10 else f"short {i}", "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keys = docs.where(langid.fit_to_learn()).select("doc_id", "lang")
+    assert len(langid.training_rows(keys, docs, "lang", 15)) == 15
+    assert langid.learn(docs, 2).lexicon is not None and len(langid.learn(docs, 2).langs) == 1
