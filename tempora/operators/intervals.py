@@ -22,6 +22,13 @@ def gap(t: Column, lo: Column, hi: Column) -> Column:
 
 
 def inside(points: DataFrame, intervals: DataFrame, how: str, group: str = "video_id", t: str = "t") -> DataFrame:
-    """Points that lie in any interval of their group (``left_semi``) or in none (``left_anti``), ends included."""
-    b = intervals.select(F.col(group).alias("_g"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return points.join(b, (F.col(group) == F.col("_g")) & F.col(t).between(F.col("_lo"), F.col("_hi")), how)
+    """Points that lie in any interval of their group (``left_semi``) or in none (``left_anti``), ends included.
+
+    Starts and points are put in one order; a point is inside if an interval
+    that began by then has not ended. So the work is a sort, not a product.
+    """
+    starts = intervals.select(F.col(group), F.col("lo").alias(t), F.lit(0).alias("_kind"), F.col("hi").alias("_hi"))
+    both = points.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    upto = Window.partitionBy(group).orderBy(t, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.coalesce(F.max("_hi").over(upto) >= F.col(t), F.lit(False))
+    return both.withColumn("_in", within).where(F.col("_kind") == 1).where(F.col("_in") == (how == "left_semi")).select(*points.columns)

@@ -1,25 +1,36 @@
-"""Segmentation of ordered frames: folds over ordered arrays, and windows."""
+"""Segmentation of ordered frames: folds over ordered rows, and windows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_STATE = T.StructType([T.StructField("len", T.LongType()), T.StructField("seg", T.LongType()), T.StructField("out", T.ArrayType(T.LongType()))])
-
+def cut_when(rows: DataFrame, wanted: str, least: int, most: int, group: str = "video_id", index: str = "frame_index") -> DataFrame:
+    """``group, index, segment``: a cut comes before a row if the segment has ``most`` members, or ``least`` and the row is ``wanted``.
 
-def cut_when(values: Column, least: int, most: int, wanted) -> Column:
-    """Segment number of each element: cut before one if the segment has ``most`` members, or ``least`` and ``wanted(value)``."""
-    zero = F.struct(F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("seg"), F.array().cast("array<bigint>").alias("out")).cast(_STATE)
+    The rows of a group pass once, in order; the state is the segment's number and length.
+    """
+    kinds = dict(rows.dtypes)
 
-    def step(a: Column, v: Column) -> Column:
-        cut = (a["len"] >= most) | ((a["len"] >= least) & F.coalesce(wanted(v), F.lit(False)))
-        seg = a["seg"] + F.when(cut, 1).otherwise(0)
-        return F.struct(F.when(cut, F.lit(1).cast("long")).otherwise(a["len"] + 1).alias("len"), seg.alias("seg"), F.concat(a["out"], F.array(seg)).alias("out")).cast(_STATE)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, length, segment = None, 0, 0
+        for batch in batches:
+            out = []
+            for key, want in zip(batch[group].tolist(), batch["_wanted"].tolist(), strict=True):
+                if key != now:
+                    now, length, segment = key, 0, 0
+                if length >= most or (length >= least and want):
+                    length, segment = 0, segment + 1
+                length += 1
+                out.append(segment)
+            yield pd.DataFrame({group: batch[group], index: batch[index], "segment": out})
 
-    return F.aggregate(values, zero, step, lambda a: a["out"])
+    slim = rows.select(group, index, F.coalesce(F.col(wanted), F.lit(False)).alias("_wanted"))
+    return slim.repartition(group).sortWithinPartitions(group, index).mapInPandas(fold, f"{group} {kinds[group]}, {index} {kinds[index]}, segment long")
 
 
 def greedy_gap(times: Column, least_gap: float, most: int) -> Column:

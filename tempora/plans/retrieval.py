@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.operators.vector import dot, top_k
-from tempora.sources.tables import frames
+from tempora.sources.tables import FRAMES_SQL, frames
 
 
 def retrieve_topk_per_video(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
@@ -20,13 +20,10 @@ def retrieve_topk_per_video(spark: SparkSession, sf_dir: str, k: int = 8) -> Dat
 
 QUERIES = {"retrieve_topk_per_video": retrieve_topk_per_video}
 ORACLE = {
-    "retrieve_topk_per_video": """
-WITH f AS (
-  SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, CAST(embedding AS DOUBLE[]) AS e
-  FROM embeddings WHERE label IS NOT NULL
-), s AS (
-  SELECT f.video_id, f.frame_index, f.frame_index / 2.0 AS ts, list_inner_product(f.e, q.e) AS score
-  FROM f JOIN f q ON q.video_id = f.video_id AND q.frame_index = 0
+    "retrieve_topk_per_video": f"""
+WITH {FRAMES_SQL}, s AS (
+  SELECT f.video_id, f.frame_index, f.ts, list_inner_product(f.e, q.e) AS score
+  FROM frames f JOIN frames q ON q.video_id = f.video_id AND q.frame_index = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) AS rank FROM s)
 SELECT video_id, frame_index, CAST(ts AS DOUBLE) AS ts, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8
 """

@@ -15,8 +15,7 @@ def segment_similarity_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut where neighbours' similarity falls below 0.05 after three frames, or after eight."""
     order = Window.partitionBy("video_id").orderBy("frame_index")
     f = frames(spark, sf_dir).withColumn("sim", dot(F.col("embedding"), F.lag("embedding").over(order)))
-    g = f.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "sim"))).alias("x"))
-    s = g.select("video_id", F.posexplode(segments.cut_when(F.transform("x", lambda y: y["sim"]), 3, 8, lambda v: v < 0.05)).alias("frame_index", "segment"))
+    s = segments.cut_when(f.withColumn("drop", F.col("sim") < 0.05), "drop", 3, 8)
     return s.groupBy("video_id", "segment").agg(F.min("frame_index").cast("long").alias("first_frame"), F.count(F.lit(1)).alias("members"))
 
 
@@ -25,8 +24,7 @@ def segment_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("video_id").orderBy("frame_index")
     tl = timeline(spark, sf_dir).withColumn("gap", F.col("t") - F.lag("t").over(order))
     median = tl.groupBy("video_id").agg((2 * F.median("gap")).alias("limit"))
-    g = tl.join(median, "video_id").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", (F.col("gap") > F.col("limit")).alias("wide")))).alias("x"))
-    s = g.select("video_id", F.posexplode(segments.cut_when(F.transform("x", lambda y: y["wide"]), 3, 8, lambda v: v)).alias("frame_index", "segment"))
+    s = segments.cut_when(tl.join(median, "video_id").withColumn("wide", F.col("gap") > F.col("limit")), "wide", 3, 8)
     return s.groupBy("video_id", "segment").agg(F.min("frame_index").cast("long").alias("first_frame"), F.count(F.lit(1)).alias("members"))
 
 

@@ -11,11 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+VIDEO_FRAMES = 1000  # ids of a video, so that a video's length does not grow with the table
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``video_id, frame_index, ts, vec_id, embedding``: one video for each label, two frames a second."""
+    """``video_id, frame_index, ts, vec_id, embedding``: one video for each label (below 1000) and thousand ids, two frames a second."""
     e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
-    at = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-    return e.select(F.col("label").alias("video_id"), at.alias("frame_index"), "vec_id", "embedding").withColumn("ts", F.col("frame_index") / 2.0)
+    video = (F.col("label") + 1000 * F.floor(F.col("vec_id") / VIDEO_FRAMES)).cast("long")
+    e = e.select(video.alias("video_id"), "vec_id", "embedding")
+    at = (F.row_number().over(Window.partitionBy("video_id").orderBy("vec_id")) - 1).cast("long")
+    return e.select("video_id", at.alias("frame_index"), "vec_id", "embedding").withColumn("ts", F.col("frame_index") / 2.0)
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +57,6 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same views as common table expressions of the oracle.
-FRAMES_SQL = "frames AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, vec_id, CAST(embedding AS DOUBLE[]) AS e, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 2.0 AS ts FROM embeddings WHERE label IS NOT NULL)"
+FRAMES_SQL = "fv AS (SELECT CAST(label + 1000 * (vec_id // 1000) AS BIGINT) AS video_id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), frames AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY vec_id) - 1 AS frame_index, vec_id, e, (row_number() OVER (PARTITION BY video_id ORDER BY vec_id) - 1) / 2.0 AS ts FROM fv)"
 TIMELINE_SQL = "tl AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e9 AS t, count(*) OVER (PARTITION BY user_id) AS n, value, event_id, event_type FROM events)"
 JUDGED_SQL = "judged AS (SELECT l.doc_id AS qidx, d.source, d.lang, l.quality = 1 AS ref_ok, l.toxic = 0 AS cand_ok FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
