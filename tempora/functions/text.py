@@ -90,9 +90,9 @@ def anchor_window(question: Column, duration: Column) -> Column:
 
 
 def survey_times(reply: Column, duration: Column) -> Column:
-    """Numbers of a reply as times: distinct, in order, none beyond the duration."""
-    times = F.transform(F.regexp_extract_all(reply, F.lit(r"(\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double"))
-    return F.array_distinct(F.filter(times, lambda t: t <= duration))
+    """Clocks of a reply in seconds: distinct, in order, none beyond a known duration."""
+    times = F.transform(F.regexp_extract_all(reply, F.lit(CLOCK), 1), lambda c: seconds(c).cast("double"))
+    return F.array_distinct(F.filter(times, lambda t: ~(F.coalesce(duration, F.lit(0.0)) > 0) | (t <= duration)))
 
 
 def clock(t: Column) -> Column:
@@ -197,20 +197,31 @@ def entities(caption: Column) -> Column:
 
 
 def ranges(reply: Column, n: Column) -> Column:
-    """Frame ranges of a reply, clamped to the frames: pairs, else single numbers widened by two; four at most."""
+    """Frame ranges of a reply, clamped to the frames.
+
+    Its JSON field ``ranges`` if it holds any; else pairs in brackets (four at
+    most), else single numbers widened by two (four at most).
+    """
+    last = n.cast("long") - 1
     pairs = F.slice(F.regexp_extract_all(reply, F.lit(r"\[(\d+\s*[-,]\s*\d+)\]"), 1), 1, 4)
     singles = F.slice(F.regexp_extract_all(reply, F.lit(r"\[(\d+)\]"), 1), 1, 4)
-    inside = lambda x: F.greatest(F.lit(0).cast("long"), F.least(x.cast("long"), n.cast("long") - 1))
+    raw = json_field(reply, "ranges")
+    listed = F.from_json(F.when(raw.startswith("["), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]"))), "array<array<long>>")
+    listed = F.filter(listed, lambda x: (F.size(x) == 2) & x[0].isNotNull() & x[1].isNotNull())
+
+    def of(lo: Column, hi: Column) -> Column:
+        lo = F.greatest(F.lit(0).cast("long"), F.least(lo.cast("long"), last))
+        return F.struct(lo.alias("lo"), F.greatest(lo, F.least(hi.cast("long"), last)).alias("hi"))
 
     def of_pair(p: Column) -> Column:
         sides = F.split(p, r"\s*[-,]\s*")
-        lo = inside(F.element_at(sides, 1))
-        return F.struct(lo.alias("lo"), F.greatest(lo, inside(F.element_at(sides, 2))).alias("hi"))
+        return of(F.element_at(sides, 1), F.element_at(sides, 2))
 
     def of_single(x: Column) -> Column:
-        return F.struct(F.greatest(F.lit(0).cast("long"), x.cast("long") - 2).alias("lo"), F.least(n.cast("long") - 1, x.cast("long") + 2).alias("hi"))
+        return F.struct(F.greatest(F.lit(0).cast("long"), x.cast("long") - 2).alias("lo"), F.least(last, x.cast("long") + 2).alias("hi"))
 
-    return F.when(F.size(pairs) > 0, F.transform(pairs, of_pair)).otherwise(F.transform(singles, of_single))
+    told = F.transform(listed, lambda x: of(x[0], x[1]))
+    return F.when(F.size(listed) > 0, told).when(F.size(pairs) > 0, F.transform(pairs, of_pair)).otherwise(F.transform(singles, of_single))
 
 
 def numbered_captions(reply: Column, n: int) -> Column:
@@ -239,15 +250,6 @@ def token_cost(width: Column, height: Column) -> Column:
     return (F.greatest(F.lit(1), F.floor(width / 28)) * F.greatest(F.lit(1), F.floor(height / 28))).cast("long")
 
 
-def hash_embedding(text: Column, dim: int = 256) -> Column:
-    """Stub embedding: counts of tokens by the tail of their checksum, scaled to length one (``dim`` divides 4096)."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    slots = F.transform(tokens, lambda t: (F.conv(F.right(F.md5(t), F.lit(3)), 16, 10).cast("long") % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-
-
 def middle_cut(text: Column, most: int, marker: str = "\n...[cut]...\n") -> Column:
     half = (most - len(marker)) // 2
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(half)), F.lit(marker), F.right(text, F.lit(half))))

@@ -68,21 +68,6 @@ def event_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("video_id", F.md5(F.concat(head, F.when(more > 0, F.concat(F.lit(" (+ "), more, F.lit(" more moments)"))).otherwise(""))).alias("summary_md5"))
 
 
-def survey_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times that a reply names: distinct, in order, none beyond the duration."""
-    e = table(spark, sf_dir, "events")
-    reply = F.concat(F.lit("try "), F.col("event_id") % 90, F.lit("s, "), F.col("event_id") % 7, F.lit("s and again "), F.col("event_id") % 90)
-    return e.select("event_id", F.array_join(F.transform(tx.survey_times(reply, F.lit(60.0)), lambda t: t.cast("long").cast("string")), ",").alias("times"))
-
-
-def planner_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A planner's JSON reply as an action and its argument; what cannot be parsed answers."""
-    e = table(spark, sf_dir, "events")
-    reply = F.when(F.col("event_id") % 4 == 0, F.lit("no json")).otherwise(F.concat(F.lit('{"action": "'), "event_type", F.lit('", "args": {"k": '), F.get_json_object("props", "$.k"), F.lit("}}")))
-    parsed = F.from_json(reply, "action string, args struct<k: long>")
-    return e.select("event_id", F.coalesce(F.upper(parsed["action"]), F.lit("ANSWER")).alias("action"), parsed["args"]["k"].alias("k"))
-
-
 def policy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold a marker which a text-only program must not."""
     d = table(spark, sf_dir, "pages")
@@ -124,7 +109,7 @@ def first_batches(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame:
     return c.groupBy("video_id", "call").agg(F.count(F.lit(1)).alias("captions"), F.round(F.min("t"), 6).alias("from_t"))
 
 
-QUERIES = {f.__name__: f for f in (seeded_shuffle, resize_dims, modal_value, positional_fallback_join, context_length, event_summaries, survey_times, planner_actions, policy_check, test_system_set, concat_then_split, fresh_candidates, baseline_cache, first_batches)}
+QUERIES = {f.__name__: f for f in (seeded_shuffle, resize_dims, modal_value, positional_fallback_join, context_length, event_summaries, policy_check, test_system_set, concat_then_split, fresh_candidates, baseline_cache, first_batches)}
 ORACLE = {
     "seeded_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS position FROM documents",
     "resize_dims": "WITH p AS (SELECT p_partkey, p_size * 16 AS w, p_size * 9 + 1 AS h FROM part) SELECT p_partkey, CASE WHEN greatest(w, h) > 224 THEN greatest(1, w * 224 // greatest(w, h)) ELSE w END::BIGINT AS width, CASE WHEN greatest(w, h) > 224 THEN greatest(1, h * 224 // greatest(w, h)) ELSE h END::BIGINT AS height FROM p",
@@ -132,8 +117,6 @@ ORACLE = {
     "positional_fallback_join": "WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents), s AS (SELECT 'src' || doc_id % 20 AS source, quality, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS pos FROM labels) SELECT d.doc_id, coalesce(l.quality, s.quality) AS truth, l.quality IS NOT NULL AS by_id FROM d LEFT JOIN labels l USING (doc_id) LEFT JOIN s ON s.source = d.source AND s.pos = d.pos",
     "context_length": "SELECT conv_id AS video_id, CAST(greatest(0, sum(length(text)) - sum(CASE WHEN turn = 0 THEN length(text) ELSE 0 END)) AS BIGINT) AS context FROM conversations GROUP BY 1",
     "event_summaries": "WITH g AS (SELECT conv_id, list(left(text, 20) ORDER BY turn, left(text, 20)) AS x FROM conversations GROUP BY 1) SELECT conv_id AS video_id, md5(array_to_string(x[1:3], ' → ') || CASE WHEN len(x) > 3 THEN ' (+ ' || (len(x) - 3) || ' more moments)' ELSE '' END) AS summary_md5 FROM g",
-    "survey_times": "SELECT event_id, CASE WHEN event_id % 90 <= 60 THEN CASE WHEN event_id % 90 = event_id % 7 THEN (event_id % 90)::VARCHAR ELSE event_id % 90 || ',' || event_id % 7 END ELSE (event_id % 7)::VARCHAR END AS times FROM events",
-    "planner_actions": "SELECT event_id, CASE WHEN event_id % 4 = 0 OR json_extract_string(props, '$.k') IS NULL THEN 'ANSWER' ELSE upper(event_type) END AS action, CASE WHEN event_id % 4 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
     "policy_check": "SELECT page_id, regexp_matches(lower(html), 'image|pixel|raw_png|video') AS rejected FROM pages",
     "test_system_set": "SELECT o_custkey AS system FROM orders WHERE o_custkey % 10 = 0 UNION SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
     "concat_then_split": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, count(*) AS total, CAST(sum(quality) AS BIGINT) AS correct FROM labels GROUP BY 1",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import leaderboard, programs, records, retrieval, sampling, segments, selection, statistics, streams, text
+from tempora.plans import leaderboard, programs, records, replies, retrieval, sampling, segments, selection, statistics, streams, text
 
-_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection, text, streams, programs, records)
+_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection, text, streams, programs, records, replies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
