@@ -44,6 +44,12 @@ def paired_mde(discordant: Column, n: Column, power: float = 0.8) -> Column:
     return (Z + z) * F.sqrt(discordant.cast("double")) / n * 100
 
 
+def expected_mde(n: Column, discordance: float = 0.24, power: float = 0.8) -> Column:
+    """Least detectable difference of a paired comparison of ``n``, in points, before any discordance is known."""
+    z = Z_POWER_80 if power == 0.8 else Z_POWER_OTHER
+    return (Z + z) * F.sqrt(F.lit(discordance) / F.greatest(n, F.lit(1))) * 100
+
+
 def holm(rows: DataFrame, p: str, group: list[str], tie: str) -> DataFrame:
     """Adjusted p (``p_holm``) by Holm's step-down rule in each group."""
     every, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(p, tie)
@@ -65,3 +71,15 @@ def selection_band(n: int, k: int, share: Column) -> Column:
 
     below = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda a: a["below"])
     return (n - below) / n
+
+
+def selection_quantile(n: int, k: int, share: Column, q: float = 0.95) -> Column:
+    """Accuracy that the best of ``k`` such systems stays at or under with probability ``q``: exact."""
+    start = F.struct((n * F.log(1 - share)).alias("log"), F.exp(n * F.log(1 - share)).alias("cdf"), F.lit(0).alias("under"))
+
+    def step(a: Column, x: Column) -> Column:
+        log = a["log"] + F.log((n - x + 1).cast("double") / x * share / (1 - share))
+        under = a["under"] + F.when(F.round(F.pow(F.least(F.lit(1.0), a["cdf"]), F.lit(float(k))), 9) < q, 1).otherwise(0)
+        return F.struct(log.alias("log"), (a["cdf"] + F.exp(log)).alias("cdf"), under.alias("under"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda a: a["under"]) / F.lit(n)

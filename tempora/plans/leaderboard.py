@@ -61,13 +61,27 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where("accuracy = now AND (before IS NULL OR accuracy > before)").select("dataset", "model", "memory", "accuracy", "cost")
 
 
-def missing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missing_grid(spark: SparkSession, sf_dir: str, memories: int = 25) -> DataFrame:
     """Cells of the configured grid that have no complete result; the grid is bounded by its dimensions."""
     r = runs(spark, sf_dir)
-    grid = r.select("model").distinct().crossJoin(F.broadcast(spark.range(20).withColumnRenamed("id", "memory"))).crossJoin(F.broadcast(spark.range(3).select(F.col("id").cast("int").alias("dataset"))))
+    grid = r.select("model").distinct().crossJoin(F.broadcast(spark.range(memories).withColumnRenamed("id", "memory"))).crossJoin(F.broadcast(spark.range(3).select(F.col("id").cast("int").alias("dataset"))))
     return grid.join(cells(spark, sf_dir), ["model", "memory", "dataset"], "left_anti")
 
 
+def harness_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each program: its accuracy on each dataset ("-" where missing), the average, tokens, and a mark on the frontier."""
+    c = cells(spark, sf_dir).withColumn("acc", F.col("correct") / F.col("total"))
+    p = c.groupBy("model", "memory").agg(
+        *[F.coalesce(F.max(F.when(F.col("dataset") == d, F.format_string("%.1f", F.round(F.col("acc") * 100, 1)))), F.lit("-")).alias(f"dataset_{d}") for d in (0, 1, 2)],
+        F.round(F.sum("acc") / 3, 6).alias("avg"),
+        F.floor(F.avg(F.nullif("cost", F.lit(0)))).cast("long").alias("tokens"),
+    )
+    # On the frontier: none is better at no more tokens, none as good at fewer.
+    cheaper = Window.partitionBy(F.lit(1)).orderBy("tokens").rangeBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(F.lit(1)).orderBy("tokens").rangeBetween(Window.unboundedPreceding, 0)
+    return p.withColumn("_b", F.max("avg").over(cheaper)).withColumn("pareto", (F.col("avg") == F.max("avg").over(upto)) & (F.col("_b").isNull() | (F.col("avg") > F.col("_b")))).drop("_b")
+
+
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
     return r.select("model", F.col("cost").alias("tokens")).unionByName(r.select("model", F.col("frames").alias("tokens"))).groupBy("model").agg(F.sum("tokens").alias("tokens"))
@@ -81,6 +95,16 @@ def summary_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("dataset", F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["memory"].cast("string"), x["model"], x["correct"].cast("string"))), ",").alias("summary"))
 
 
+def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary as one nested JSON document: dataset, memory, then accuracy, cost and model; the last model wins."""
+    c = cells(spark, sf_dir)
+    last = c.groupBy("dataset", "memory").agg(F.max(F.struct("model", F.round(F.col("correct") / F.col("total"), 4).alias("accuracy"), "cost")).alias("x"))
+    entry = F.struct(F.col("memory").cast("string").alias("memory"), F.to_json(F.struct("x.accuracy", "x.cost", "x.model")).alias("body"))
+    one = last.groupBy("dataset").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    inner = F.array_join(F.transform("entries", lambda e: F.concat(F.lit('"'), e["memory"], F.lit('":'), e["body"])), ",")
+    return one.select("dataset", F.concat(F.lit("{"), inner, F.lit("}")).alias("document"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``iteration, system, axis, score, component`` of each order, a month being an iteration."""
     o = table(spark, sf_dir, "orders")
@@ -102,6 +126,18 @@ def axis_recent_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(F.broadcast(latest), "iteration", "left_semi").select("component").distinct()
 
 
+def recent_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes of the three latest iterations: a row's components if it has any, else its axis unless that only names the phase."""
+    l = ledger(spark, sf_dir)  # noqa: E741
+    parts = F.when(F.col("system") % 3 == 0, F.split("component", "-")).otherwise(F.array().cast("array<string>"))
+    axis = F.when(F.col("system") % 3 == 1, F.concat(F.lit("axis "), F.col("system") % 5)).otherwise(F.col("axis"))
+    named = F.when(F.size(parts) > 0, parts).when(~axis.isin("exploitation", "exploration"), F.array(axis))
+    latest = l.select("iteration").distinct().orderBy(F.desc("iteration")).limit(3)
+    newest = latest.agg(F.max("iteration").alias("newest"))
+    axes = l.join(F.broadcast(latest), "iteration", "left_semi").select(F.explode(named).alias("axis")).distinct()
+    return axes.crossJoin(F.broadcast(newest))
+
+
 def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer the first of their best orders."""
     o = table(spark, sf_dir, "orders")
@@ -116,10 +152,13 @@ def score_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def execution_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose run failed: no event, or a share of errors of a fifth or more."""
-    e = table(spark, sf_dir, "events")
-    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("event_type") == "error").cast("double")).alias("share"))
-    return g.select("user_id", "n", (F.col("share") >= 0.2).alias("failed"))
+    """Customers as programs, orders as their questions: a run failed with no result, any error, or four fifths unparsed."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("program"))
+    g = o.groupBy(F.col("o_custkey").alias("program")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("unparsed"), F.sum((F.col("o_totalprice") % 50 < 1).cast("long")).alias("errors")
+    )
+    failed = F.col("n").isNull() | (F.col("errors") > 0) | (F.col("unparsed") >= 0.8)
+    return c.join(g, "program", "left").select("program", F.coalesce("n", F.lit(0)).alias("n"), failed.alias("failed"))
 
 
 def progress_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +169,7 @@ def progress_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("day", done.alias("done"), F.round((total - done) * F.row_number().over(w) / done, 6).alias("days_left"))
 
 
-QUERIES = {f.__name__: f for f in (complete_seed_groups, leaderboard, leaderboard_pivot, frontier_argmax, pareto_frontier, missing_grid, token_totals, summary_map, frontier_updates, axis_recent_union, best_epoch, score_delta, execution_errors, progress_rate)}
+QUERIES = {f.__name__: f for f in (complete_seed_groups, leaderboard, leaderboard_pivot, frontier_argmax, pareto_frontier, missing_grid, token_totals, summary_map, frontier_updates, axis_recent_union, recent_axes, best_epoch, score_delta, execution_errors, progress_rate, harness_pivot, summary_json)}
 
 _RUNS = "runs AS (SELECT l_linestatus AS model, l_suppkey % 20 AS memory, l_linenumber % 3 AS dataset, l_returnflag AS seed, count(*) FILTER (WHERE l_discount >= 0.05) AS correct, count(*) AS total, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS cost, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS frames FROM lineitem GROUP BY 1, 2, 3, 4)"
 _CELLS = _RUNS + ", needed AS (SELECT model, count(DISTINCT seed) AS needed FROM runs GROUP BY 1), cells AS (SELECT model, memory, dataset, count(DISTINCT seed) AS seeds, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(frames) AS BIGINT) AS frames FROM runs GROUP BY 1, 2, 3 HAVING count(DISTINCT seed) = (SELECT needed FROM needed x WHERE x.model = runs.model)), acc AS (SELECT *, round(correct / total::DOUBLE, 6) AS accuracy FROM cells)"
@@ -141,13 +180,19 @@ ORACLE = {
     "leaderboard_pivot": f"WITH {_CELLS} SELECT model, memory, max(round(correct / total::DOUBLE, 4)) FILTER (WHERE dataset = 0) AS dataset_0, max(round(correct / total::DOUBLE, 4)) FILTER (WHERE dataset = 1) AS dataset_1, max(round(correct / total::DOUBLE, 4)) FILTER (WHERE dataset = 2) AS dataset_2 FROM cells GROUP BY 1, 2",
     "frontier_argmax": f"WITH {_CELLS} SELECT dataset, model, memory, accuracy, cost FROM acc QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY accuracy DESC, cost, model, memory) = 1",
     "pareto_frontier": f"WITH {_CELLS} SELECT dataset, model, memory, accuracy, cost FROM acc a WHERE NOT EXISTS (SELECT 1 FROM acc b WHERE b.dataset = a.dataset AND b.accuracy >= a.accuracy AND b.cost <= a.cost AND (b.accuracy > a.accuracy OR b.cost < a.cost))",
-    "missing_grid": f"WITH {_CELLS} SELECT m.model, k.memory, CAST(d.dataset AS INT) AS dataset FROM (SELECT DISTINCT model FROM runs) m, range(20) k(memory), range(3) d(dataset) WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.model = m.model AND c.memory = k.memory AND c.dataset = d.dataset)",
+    "missing_grid": f"WITH {_CELLS} SELECT m.model, k.memory, CAST(d.dataset AS INT) AS dataset FROM (SELECT DISTINCT model FROM runs) m, range(25) k(memory), range(3) d(dataset) WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.model = m.model AND c.memory = k.memory AND c.dataset = d.dataset)",
     "token_totals": f"WITH {_RUNS} SELECT model, CAST(sum(cost + frames) AS BIGINT) AS tokens FROM runs GROUP BY 1",
     "summary_map": f"WITH {_CELLS}, l AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY dataset, memory ORDER BY model DESC) = 1) SELECT dataset, string_agg(memory || ':' || model || ':' || correct, ',' ORDER BY memory) AS summary FROM l GROUP BY 1",
     "frontier_updates": f"WITH {_LEDGER}, b AS (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY iteration ORDER BY score DESC, system) = 1), c AS (SELECT *, max(score) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS champion FROM b) SELECT iteration, system, round(score, 2) AS score FROM c WHERE champion IS NULL OR score > champion",
     "axis_recent_union": f"WITH {_LEDGER}, r AS (SELECT component, dense_rank() OVER (ORDER BY iteration DESC) AS k FROM ledger) SELECT DISTINCT component FROM r WHERE k <= 3",
     "best_epoch": "SELECT o_custkey AS customer, o_orderkey AS epoch, o_totalprice AS score FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "score_delta": f"WITH {_LEDGER}, m AS (SELECT iteration, round(avg(score), 4) AS mean FROM ledger GROUP BY 1) SELECT iteration, mean, round(mean - max(mean) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS delta FROM m",
-    "execution_errors": "SELECT user_id, count(*) AS n, avg(CAST(event_type = 'error' AS DOUBLE)) >= 0.2 AS failed FROM events GROUP BY 1",
+    "execution_errors": "WITH g AS (SELECT o_custkey AS program, count(*) AS n, avg(CAST(o_orderstatus = 'F' AS DOUBLE)) AS u, count(*) FILTER (WHERE o_totalprice % 50 < 1) AS e FROM orders GROUP BY 1) SELECT c_custkey AS program, coalesce(n, 0) AS n, n IS NULL OR e > 0 OR u >= 0.8 AS failed FROM customer LEFT JOIN g ON program = c_custkey",
+    "recent_axes": f"""WITH {_LEDGER.replace('o_orderpriority AS component', "o_orderpriority AS component, o_orderstatus AS st")}, r AS (SELECT *, dense_rank() OVER (ORDER BY iteration DESC) AS k FROM ledger), x AS (SELECT * FROM r WHERE k <= 3)
+SELECT DISTINCT axis, (SELECT max(iteration) FROM x) AS newest FROM (SELECT unnest(string_split(component, '-')) AS axis FROM x WHERE system % 3 = 0 UNION ALL SELECT 'axis ' || system % 5 FROM x WHERE system % 3 = 1)""",
+    "harness_pivot": f"""WITH {_CELLS}, p AS (SELECT model, memory, coalesce(max(printf('%.1f', round(correct / total::DOUBLE * 100, 1))) FILTER (WHERE dataset = 0), '-') AS dataset_0, coalesce(max(printf('%.1f', round(correct / total::DOUBLE * 100, 1))) FILTER (WHERE dataset = 1), '-') AS dataset_1, coalesce(max(printf('%.1f', round(correct / total::DOUBLE * 100, 1))) FILTER (WHERE dataset = 2), '-') AS dataset_2, round(sum(correct / total::DOUBLE) / 3, 6) AS avg, CAST(floor(avg(nullif(cost, 0))) AS BIGINT) AS tokens FROM cells GROUP BY 1, 2)
+SELECT *, NOT EXISTS (SELECT 1 FROM p b WHERE b.avg >= a.avg AND b.tokens <= a.tokens AND (b.avg > a.avg OR b.tokens < a.tokens)) AS pareto FROM p a""",
+    "summary_json": f"""WITH {_CELLS}, l AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY dataset, memory ORDER BY model DESC) = 1)
+SELECT dataset, '{{' || string_agg('"' || memory || '":{{"accuracy":' || round(correct / total::DOUBLE, 4) || ',"cost":' || cost || ',"model":"' || model || '"}}', ',' ORDER BY memory::VARCHAR) || '}}' AS document FROM l GROUP BY 1""",
     "progress_rate": "WITH e AS (SELECT CAST(day(ts) AS INT) AS day, count(*) AS n FROM events GROUP BY 1), w AS (SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS done, sum(n) OVER () AS total, row_number() OVER (ORDER BY day) AS k FROM e) SELECT day, done, round((total - done) * k / done::DOUBLE, 6) AS days_left FROM w",
 }

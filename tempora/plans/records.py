@@ -11,7 +11,7 @@ from tempora.functions.models import request_key
 from tempora.sources.tables import captions, table, timeline
 
 #: Markers of source text that a text-only program must not hold (fixed values).
-FORBIDDEN = ("image", "pixel", "raw_png", "video")
+FORBIDDEN = ("render_frames(", "embed_images(", '"type": "image"', "'type': 'image'")
 
 
 def seeded_shuffle(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
@@ -69,17 +69,26 @@ def event_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that hold a marker which a text-only program must not."""
+    """Programs (here pages, some with a call put in) whose source holds a marker that a text-only one must not, and which."""
     d = table(spark, sf_dir, "pages")
-    return d.select("page_id", F.lower("html").rlike("|".join(FORBIDDEN)).alias("rejected"))
+    put = F.element_at(F.array(F.lit(""), F.lit("self.render_frames(x)"), F.lit('{"type": "image"}'), F.lit("{'type': 'text'}"), F.lit("render_frames = 1")), (F.col("page_id") % 5 + 1).cast("int"))
+    source = F.concat(F.col("html"), F.lit("\n"), put)
+    found = F.filter(F.array(*[F.lit(m) for m in FORBIDDEN]), lambda m: F.contains(source, m))
+    return d.select("page_id", F.array_join(found, ", ").alias("violations"), (F.size(found) > 0).alias("rejected"))
 
 
 def test_system_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Systems to test: baselines, those on the frontier, and the best of each dataset, once each."""
+    """Systems to test: baselines, those on the frontier of score and cost, and the best of each dataset, once each."""
     o = table(spark, sf_dir, "orders")
     base = o.where("o_custkey % 10 = 0").select("o_custkey")
     best = o.groupBy("o_orderpriority").agg(F.max_by("o_custkey", F.struct("o_totalprice", "o_orderkey")).alias("o_custkey")).select("o_custkey")
-    return base.union(best).distinct().select(F.col("o_custkey").alias("system"))
+    # Of equal costs the best score alone can be on the frontier, so the order to scan is one of whole costs.
+    s = o.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("score"), F.count(F.lit(1)).alias("cost"))
+    top = s.groupBy("cost").agg(F.max("score").alias("score"))
+    before = F.max("score").over(Window.partitionBy(F.lit(1)).orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
+    front = top.withColumn("_b", before).where("_b IS NULL OR score > _b").select("cost", "score")
+    pareto = s.join(F.broadcast(front), ["cost", "score"]).select("o_custkey")
+    return base.union(best).union(pareto).distinct().select(F.col("o_custkey").alias("system"))
 
 
 def concat_then_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +99,10 @@ def concat_then_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fresh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as candidates: those that no customer of the nation with as much money precedes."""
+    """Suppliers as candidates, customers of one nation and number as programs there before: a candidate is fresh if none has as late a state."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    most = c.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.max("c_acctbal").alias("most"))
-    return s.join(most, "s_nationkey", "left").where("most IS NULL OR most < s_acctbal").select("s_suppkey")
+    latest = c.groupBy(F.col("c_nationkey").alias("s_nationkey"), (F.col("c_custkey") % 50).alias("number")).agg(F.max("c_acctbal").alias("most"))
+    return s.withColumn("number", F.col("s_suppkey") % 50).join(latest, ["s_nationkey", "number"], "left").where("most IS NULL OR most < s_acctbal").select("s_suppkey")
 
 
 def baseline_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +126,13 @@ ORACLE = {
     "positional_fallback_join": "WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents), s AS (SELECT 'src' || doc_id % 20 AS source, quality, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS pos FROM labels) SELECT d.doc_id, coalesce(l.quality, s.quality) AS truth, l.quality IS NOT NULL AS by_id FROM d LEFT JOIN labels l USING (doc_id) LEFT JOIN s ON s.source = d.source AND s.pos = d.pos",
     "context_length": "SELECT conv_id AS video_id, CAST(greatest(0, sum(length(text)) - sum(CASE WHEN turn = 0 THEN length(text) ELSE 0 END)) AS BIGINT) AS context FROM conversations GROUP BY 1",
     "event_summaries": "WITH g AS (SELECT conv_id, list(left(text, 20) ORDER BY turn, left(text, 20)) AS x FROM conversations GROUP BY 1) SELECT conv_id AS video_id, md5(array_to_string(x[1:3], ' → ') || CASE WHEN len(x) > 3 THEN ' (+ ' || (len(x) - 3) || ' more moments)' ELSE '' END) AS summary_md5 FROM g",
-    "policy_check": "SELECT page_id, regexp_matches(lower(html), 'image|pixel|raw_png|video') AS rejected FROM pages",
-    "test_system_set": "SELECT o_custkey AS system FROM orders WHERE o_custkey % 10 = 0 UNION SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
+    "policy_check": """WITH s AS (SELECT page_id, html || chr(10) || (['', 'self.render_frames(x)', '{"type": "image"}', '{''type'': ''text''}', 'render_frames = 1'])[page_id % 5 + 1] AS src FROM pages),
+f AS (SELECT page_id, list_filter(['render_frames(', 'embed_images(', '"type": "image"', '''type'': ''image'''], lambda m: contains(src, m)) AS v FROM s) SELECT page_id, array_to_string(v, ', ') AS violations, len(v) > 0 AS rejected FROM f""",
+    "test_system_set": """WITH t AS (SELECT o_custkey AS c, round(sum(o_totalprice), 2) AS s, count(*) AS k FROM orders GROUP BY 1)
+SELECT o_custkey AS system FROM orders WHERE o_custkey % 10 = 0 UNION SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1
+UNION SELECT c FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.s >= a.s AND b.k <= a.k AND (b.s > a.s OR b.k < a.k))""",
     "concat_then_split": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, count(*) AS total, CAST(sum(quality) AS BIGINT) AS correct FROM labels GROUP BY 1",
-    "fresh_candidates": "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal >= s.s_acctbal)",
+    "fresh_candidates": "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_custkey % 50 = s.s_suppkey % 50 AND c.c_acctbal >= s.s_acctbal)",
     "baseline_cache": "SELECT s_suppkey, coalesce(n_regionkey < 3, false) AS cached FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey",
     "first_batches": "WITH tl AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e9 AS t FROM events) SELECT video_id, frame_index // 8 AS call, count(*) AS captions, round(min(t), 6) AS from_t FROM tl GROUP BY 1, 2",
 }
