@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from tempora.operators import sampling, segments, selection
 from tempora.operators.selection import SELECTORS, register
+from tempora.plans.selection import _aks
+from tempora.sources.tables import captions
 
 VIDEOS, FRAMES, BUDGET = 200, 60, 8
 COLOURS = ("red", "blue", "green", "yellow")
@@ -109,7 +111,50 @@ def needle_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("video_id", F.coalesce("hint", F.lit("A")).alias("predicted"), "answer")
 
 
-QUERIES = {f.__name__: f for f in (needle_accuracy, needle_uniform)}
+MOCK = "video_id string, duration double, fps double, frames array<struct<t: int, caption: string, hint: string, size: array<int>>>"
+
+
+def decode(videos: DataFrame) -> DataFrame:
+    """Frames of videos given as text (``video``): a JSON document is a mock video, anything else a path.
+
+    A hint joins its frame's caption. A path gives one row without frames, for a decoder to fill.
+    """
+    v = videos.select("*", F.from_json("video", MOCK).alias("_v"))
+    is_mock = F.coalesce(F.size("_v.frames") > 0, F.lit(False))
+    mock = v.where(is_mock).select(F.col("_v.video_id").alias("video_id"), F.lit("mock").alias("source"), F.posexplode("_v.frames").alias("frame_index", "f"))
+    caption = F.concat(F.coalesce("f.caption", F.lit("")), F.coalesce(F.concat(F.lit("  ANSWER_HINT: "), F.col("f.hint")), F.lit("")))
+    size = F.coalesce("f.size", F.array(F.lit(224), F.lit(224)))
+    mock = mock.select("video_id", "source", "frame_index", F.col("f.t").cast("double").alias("t"), caption.alias("caption"), size[0].alias("width"), size[1].alias("height"))
+    path = v.where(~is_mock).select(F.col("video").alias("video_id"), F.lit("path").alias("source"), *[F.lit(None).cast(k).alias(c) for c, k in (("frame_index", "int"), ("t", "double"), ("caption", "string"), ("width", "int"), ("height", "int"))])
+    return mock.unionByName(path)
+
+
+def mock_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as mock videos in JSON, taken apart again, beside paths; every frame at the stride of its rate."""
+    c = captions(spark, sf_dir)
+    frame = F.struct("frame_index", F.struct((F.col("frame_index") * 2).cast("int").alias("t"), F.left("caption", F.lit(20)).alias("caption"), F.when(F.col("frame_index") == F.col("video_id") % 5, "B").alias("hint"), F.when(F.col("frame_index") % 2 == 1, F.array(F.lit(320), F.lit(240))).alias("size")).alias("f"))
+    g = c.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(frame)), lambda x: x["f"]).alias("frames"))
+    doc = F.to_json(F.struct(F.concat(F.lit("mock_"), F.col("video_id")).alias("video_id"), F.lit(16.0).alias("duration"), F.lit(2.0).alias("fps"), "frames"))
+    videos = g.select(F.when(F.col("video_id") % 4 == 0, F.concat(F.lit("/videos/"), F.col("video_id"), F.lit(".mp4"))).otherwise(doc).alias("video"))
+    stride = 2  # max(1, int(fps))
+    return decode(videos).where((F.col("source") == "path") | (F.col("frame_index") % stride == 0))
+
+
+QUERIES = {f.__name__: f for f in (needle_accuracy, needle_uniform, mock_decode)}
+_NEEDLES = """v AS (SELECT v AS video_id, (v * 37 + 11) % 60 AS needle, (v * 7 + 3) % 4 AS ans FROM range(200) r(v)), f AS (SELECT video_id, i AS frame_index, i * 2.0::DOUBLE AS t, 60::BIGINT AS n, i = needle AS hit, ans,
+round(((i * 29 + video_id * 13) % 101 / 101.0::DOUBLE) * 0.8::DOUBLE + CASE WHEN i = needle THEN video_id % 5 / 5.0::DOUBLE ELSE 0 END, 6) AS score FROM v, range(60) r(i)),
+b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) AS r FROM f), nd AS (SELECT video_id, frame_index, n, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 9) AS x FROM f WINDOW w AS (PARTITION BY video_id))"""
+_PICKS = """c0 AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY video_id ORDER BY t, frame_index) > 6 THEN 1 ELSE 0 END AS fresh FROM b WHERE r <= 16), c1 AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY t, frame_index ROWS UNBOUNDED PRECEDING) AS cluster FROM c0), c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY video_id, cluster ORDER BY score DESC, frame_index) = 1),
+w0 AS (SELECT video_id, frame_index AS start, count(*) OVER x AS m, round(sum(score) OVER x, 6) AS total FROM f WINDOW x AS (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), w1 AS (SELECT * FROM w0 WHERE m = 4 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY total DESC, start) = 1),
+picks AS (SELECT 'uniform' AS program, video_id, frame_index FROM f WHERE list_contains([0, 7, 15, 22, 30, 37, 45, 52], frame_index) UNION SELECT 'stride', video_id, frame_index FROM f WHERE frame_index % 7 = 0 AND frame_index // 7 < 8 UNION SELECT 'first', video_id, frame_index FROM f WHERE frame_index < 8
+UNION SELECT 'retrieved', video_id, frame_index FROM b WHERE r <= 8 UNION SELECT 'keyframes', video_id, frame_index FROM aks UNION SELECT 'coarse_to_fine', video_id, frame_index FROM (SELECT * FROM c2 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) <= 8)
+UNION SELECT 'timeline', video_id, frame_index FROM b WHERE frame_index % 10 = 0 OR r <= 2 UNION SELECT 'focus', f.video_id, frame_index FROM f JOIN w1 USING (video_id) WHERE frame_index BETWEEN start AND start + 3 OR frame_index % 15 = 0
+UNION SELECT 'scenes', video_id, frame_index FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video_id, frame_index // 16 ORDER BY score DESC, frame_index) <= 2) UNION SELECT 'hybrid', video_id, frame_index FROM b WHERE frame_index % 15 = 0 OR r <= 4),
+g AS (SELECT program, p.video_id, bool_or(hit) OR any_value(ans) = 0 AS ok, count(*) AS frames FROM picks p JOIN f USING (video_id, frame_index) GROUP BY 1, 2)"""
 ORACLE = {
+    "needle_accuracy": f"WITH RECURSIVE {_NEEDLES}, {_aks(8, 'nd')}, {_PICKS} SELECT program, count(*) AS videos, count(*) FILTER (WHERE ok) AS correct, CAST(sum(frames) AS BIGINT) AS frames FROM g GROUP BY 1",
+    "mock_decode": """SELECT 'mock_' || conv_id AS video_id, 'mock' AS source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS frame_index, turn * 2.0::DOUBLE AS t, left(text, 20) || CASE WHEN turn = conv_id % 5 THEN '  ANSWER_HINT: B' ELSE '' END AS caption,
+CAST(CASE WHEN turn % 2 = 1 THEN 320 ELSE 224 END AS INT) AS width, CAST(CASE WHEN turn % 2 = 1 THEN 240 ELSE 224 END AS INT) AS height FROM conversations WHERE conv_id % 4 <> 0 QUALIFY (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 2 = 0
+UNION ALL SELECT DISTINCT '/videos/' || conv_id || '.mp4', 'path', CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS INT) FROM conversations WHERE conv_id % 4 = 0""",
     "needle_uniform": "SELECT v AS video_id, CASE WHEN list_contains([0, 7, 15, 22, 30, 37, 45, 52], (v * 37 + 11) % 60) THEN chr(CAST((v * 7 + 3) % 4 + 65 AS INT)) ELSE 'A' END AS predicted, chr(CAST((v * 7 + 3) % 4 + 65 AS INT)) AS answer FROM range(200) r(v)",
 }

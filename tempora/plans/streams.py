@@ -12,17 +12,38 @@ from tempora.streaming import runs
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events a day and type, as a stream with a watermark, complete."""
-    s = runs.event_stream(spark, sf_dir).withWatermark("ts", "1 day")
-    g = s.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return runs.final_state(g.select(F.dayofmonth("w.start").alias("day"), "event_type", "n", "total"))
+    """Events a day and type, as a stream; the watermark lets days go, and days still open at the end are added."""
+    def days(events: DataFrame) -> DataFrame:
+        g = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+        return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+    closed = runs.final_state(days(runs.event_stream(spark, sf_dir).withWatermark("ts", "1 day")))
+    every = days(events_table(spark, sf_dir))
+    whole = closed.unionByName(every.join(closed.select("start").distinct(), "start", "left_anti"))
+    return whole.select(F.dayofmonth("start").alias("day"), "event_type", "n", "total")
+
+
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a table, times without a zone taken as the session's."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user that six hours without an event end, as a stream."""
-    s = runs.event_stream(spark, sf_dir).withWatermark("ts", "1 day")
-    g = s.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least_event"))
-    return runs.final_state(g.select("user_id", "n", "least_event"))
+    """Sessions of each user that six hours without an event end, as a stream; sessions still open at the end are added."""
+    def sessions(events: DataFrame) -> DataFrame:
+        g = events.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least_event"))
+        return g.select("user_id", "n", "least_event")
+
+    closed = runs.final_state(sessions(runs.event_stream(spark, sf_dir).withWatermark("ts", "1 day")))
+    every = sessions(events_table(spark, sf_dir))
+    return closed.unionByName(every.join(closed.select("user_id", "least_event"), ["user_id", "least_event"], "left_anti"))
+
+
+def online_state_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week is a batch: each value is predicted from the state that the weeks before have left in a table."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.floor(F.dayofmonth("ts") / 7).cast("int").alias("week"))
+    p = runs.online(e, "week", "user_id", "value")
+    return p.groupBy("week").agg(F.count("predicted").alias("predicted"), F.round(F.avg(F.abs(F.col("value") - F.col("predicted"))), 6).alias("error"))
 
 
 def online_prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +115,11 @@ def completion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", F.row_number().over(arrived).alias("arrived"), F.row_number().over(asked).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, online_prequential, response_cache_misses, tool_correlation, file_stats, context_completeness, early_stopping, completion_order)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, online_state_loop, online_prequential, response_cache_misses, tool_correlation, file_stats, context_completeness, early_stopping, completion_order)}
 ORACLE = {
     "stream_tumbling": "SELECT CAST(day(ts) AS INT) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY date_trunc('day', ts), 1, 2",
     "stream_sessions": "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, count(*) AS n, min(event_id) AS least_event FROM b GROUP BY user_id, s",
+    "online_state_loop": "WITH e AS (SELECT CAST(day(ts) // 7 AS INT) AS week, user_id, value FROM events), p AS (SELECT week, value, avg(value) OVER (PARTITION BY user_id ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted FROM e) SELECT week, count(predicted) AS predicted, round(avg(abs(value - predicted)), 6) AS error FROM p GROUP BY 1",
     "online_prequential": "WITH e AS (SELECT CAST(day(ts) AS INT) AS day, user_id, value FROM events), p AS (SELECT day, value, avg(value) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted FROM e) SELECT day, count(predicted) AS predicted, round(avg(abs(value - predicted)), 6) AS error FROM p GROUP BY 1",
     "response_cache_misses": "WITH d AS (SELECT doc_id, sha256(concat_ws('|', 'model', lang, text)) AS key FROM documents) SELECT key, min(doc_id) AS first_request, count(*) AS requests FROM d WHERE doc_id % 3 <> 0 AND key NOT IN (SELECT key FROM d WHERE doc_id % 3 = 0) GROUP BY 1",
     "tool_correlation": "SELECT c.conv_id AS video_id, count(*) AS calls, count(r.text) AS answered, CAST(sum(length(c.text)) AS BIGINT) AS chars_in, CAST(sum(length(r.text)) AS BIGINT) AS chars_out FROM conversations c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant' WHERE c.role = 'user' GROUP BY 1",
