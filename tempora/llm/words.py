@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tempora.llm.common import unit_uniform
+
 WIDTH = 40  # code points of a word's form; longer words are read in pieces
 BATCH_DOCS = 1024
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_500_000
 TRAINING_BYTES = 20_000  # longer texts are not learned from (they are scored whole)
 
 
@@ -90,7 +92,7 @@ def joined_letters(words: list[str]) -> list[str]:
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def code_points(forms: list[str]) -> np.ndarray:
@@ -99,7 +101,7 @@ def code_points(forms: list[str]) -> np.ndarray:
 
 
 def _alpha(points: np.ndarray) -> np.ndarray:
-    return np.where(points < 1 << 16, _letters()[np.minimum(points, (1 << 16) - 1)], points > 0)
+    return _letters()[points]
 
 
 def letters_only(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +126,14 @@ def training_rows(keys: DataFrame, docs: DataFrame, label: str, most: int) -> pd
     very long texts are left out; where ``keys`` come with texts, ``fit_to_learn`` leaves them
     out before the choice.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     keys = keys.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    chosen = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", label).distinct().toPandas()
+    # A label may have any number of rows. Those whose hash is low enough are some three times as many as wanted,
+    # so only they are ordered; fewer than wanted pass with a chance below 1e-9.
+    sizes = keys.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    low = unit_uniform(F.lit(3), F.col("doc_id")) * F.col("_size") < 3 * most + 100
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = keys.join(sizes, label).where(low)
+    chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", label).distinct().toPandas()
     picked = docs.sparkSession.createDataFrame([(int(i),) for i in chosen["doc_id"].unique()], "doc_id long")
     fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fit_to_learn())
     texts = fit.join(F.broadcast(picked), "doc_id").toPandas()
