@@ -1,9 +1,9 @@
 """Nearest neighbours by vantage-point trees, one for each shard.
 
 Vectors are dealt to shards of bounded size; each shard becomes one row that
-holds its tree. Queries are gathered into blocks of bounded size, and every
-block meets every shard's tree (an equi-join on the shard). A block descends
-a tree together: at each node the queries visit their own side first, then the
+holds its tree. Every query is sent to every shard, where the queries stream
+past the tree, which is held once. A block of them descends
+the tree together: at each node the queries visit their own side first, then the
 other side unless the triangle inequality rules it out. The bound is relaxed
 by ``factor``: the other side is skipped where the distance to the boundary
 exceeds ``factor`` times the distance of the worst neighbour so far. One is
@@ -15,6 +15,7 @@ No task holds more than a shard and a block of queries.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 LEAF = 64
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
+COPY_QUERIES = 1 << 17  # queries that stream past one copy of a tree
 FACTOR = 0.17
 
 
@@ -126,37 +128,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     zero or hold null or non-finite components take no part, nor do rows with a
     null id; vectors of another length than the query's are no candidates. Rows
     with the query's own id are left out. Ties go to the smaller id; rows that
-    repeat are candidates each. Empty tables give no rows.
+    repeat are candidates each. A query that repeats is asked once; of several
+    vectors under one id the smallest is asked. Empty tables give no rows; other
+    columns, clashing or not, are ignored.
     """
     def slim(t: DataFrame) -> DataFrame:
         t = t.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
         return t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"))
 
-    rows, asked = slim(vectors), slim(queries)
+    rows = slim(vectors)
+    asked = slim(queries).groupBy("vec_id").agg(F.min(F.struct("dims", "embedding")).alias("q")).select("vec_id", "q.dims", "q.embedding")
     shards = max(1, -(-rows.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_queries))
+    copies = max(1, -(-asked.count() // COPY_QUERIES))
 
     def plant(batch: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(batch["vec_id"].to_numpy(np.int64), np.stack(batch["embedding"]))
         return pd.DataFrame({"dims": batch["dims"].iloc[:1], "shard": batch["shard"].iloc[:1], "tree": [pickle.dumps(tree, protocol=5)]})
 
-    def gather(batch: pd.DataFrame) -> pd.DataFrame:
-        held = batch["vec_id"].to_numpy(np.int64), np.stack(batch["embedding"])
-        return pd.DataFrame({"dims": batch["dims"].iloc[:1], "block": batch["block"].iloc[:1], "asked": [pickle.dumps(held, protocol=5)]})
-
-    def hunt(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for tree, held in zip(batch["tree"], batch["asked"], strict=True):
-            ids, points = pickle.loads(held)
-            best, names = pickle.loads(tree).search(ids, points, k, factor)
-            at = np.nonzero(names >= 0) if (names >= 0).any() else (np.zeros(0, int), np.zeros(0, int))
-            out.append(pd.DataFrame({"query_id": ids[at[0]], "vec_id": names[at], "score": best[at]}))
-        return pd.concat(out)
+    def hunt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None
+        for batch in batches:
+            at = list(zip(batch["dims"].tolist(), batch["shard"].tolist(), batch["copy"].tolist(), strict=True))
+            trees = batch["tree"].notna().to_numpy()
+            cuts = sorted({0, len(batch), *np.flatnonzero(trees).tolist(), *(np.flatnonzero(trees) + 1).tolist(), *(i for i in range(1, len(at)) if at[i] != at[i - 1])})
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if trees[lo]:
+                    held = at[lo], pickle.loads(batch["tree"].iloc[lo])
+                elif held is not None and held[0] == at[lo]:  # else no vector of this length lies in the shard
+                    for start in range(lo, hi, block_queries):
+                        part = batch.iloc[start : min(start + block_queries, hi)]
+                        ids = part["vec_id"].to_numpy(np.int64)
+                        best, names = held[1].search(ids, np.stack(part["embedding"]).astype(np.float64), k, factor)
+                        found = np.nonzero(names >= 0)
+                        yield pd.DataFrame({"query_id": ids[found[0]], "vec_id": names[found], "score": best[found]})
 
     where = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")
     trees = rows.withColumn("shard", where).groupBy("dims", "shard").applyInPandas(plant, "dims int, shard int, tree binary")
-    held = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dims", "block").applyInPandas(gather, "dims int, block int, asked binary")
-    held = held.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = trees.join(held, ["dims", "shard"]).groupBy("dims", "shard", "block").applyInPandas(hunt, "query_id long, vec_id long, score double")
+    trees = trees.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("dims", "shard", "copy", "tree", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sent = sent.select("dims", "shard", F.pmod(F.xxhash64("vec_id"), F.lit(copies)).cast("int").alias("copy"), F.lit(None).cast("binary").alias("tree"), "vec_id", "embedding")
+    # In each group the tree comes first (its id is null), then the queries.
+    routed = trees.unionByName(sent).repartition("dims", "shard", "copy").sortWithinPartitions("dims", "shard", "copy", "vec_id")
+    met = routed.mapInPandas(hunt, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
