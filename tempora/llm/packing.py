@@ -9,8 +9,10 @@ and full windows of a power of two need no padding. What is left at the end
 of a partition (less than one long window) is dealt to short full windows,
 and only a rest below the shortest tier is padded.
 
-Windows are grouped into steps: taken from the longest down, their lengths add
-up to the step size exactly, so steps cost the same.
+Windows are grouped into steps whose lengths add up to the step size exactly,
+so steps cost the same: a window goes to the open step with the least room that
+holds it. As lengths are powers of two, a few steps at most are open at a time,
+and only those open at a partition's end stay short.
 
 There is no shuffle: each partition packs alone and leaves less than one
 window of the shortest tier unfilled. Memory holds one batch of ids. A window
@@ -169,17 +171,33 @@ class Packer:
             yield (size if size in self.tiers else self.tiers[-1]), window
 
 
-def _rows(windows: list[tuple[int, list[tuple]]], partition: int, first: int, group: int, step: int) -> tuple[pd.DataFrame, int]:
-    """Rows of the windows, longest first, and the number of step groups they make."""
-    out, used = [], 0
+class Steps:
+    """Groups windows into steps of exactly ``size`` ids."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.open, self.n = size, [], 0  # open: (room, step)
+
+    def place(self, tier: int) -> int:
+        room = min((x for x in self.open if x[0] >= tier), default=None)
+        if room is None:
+            room = (max(self.size, tier), self.n)
+            self.n += 1
+        else:
+            self.open.remove(room)
+        if room[0] > tier:
+            self.open.append((room[0] - tier, room[1]))
+        return room[1]
+
+
+def _rows(windows: list[tuple[int, list[tuple]]], partition: int, first: int, steps: Steps) -> pd.DataFrame:
+    """Rows of the windows, longest first."""
+    out = []
     for k, (tier, pieces) in enumerate(sorted(windows, key=lambda w: -w[0])):
-        at = 0
+        at, step = 0, (partition << 40) + steps.place(tier)
         for doc, start, ids, total in pieces:
-            out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, (partition << 40) + first + k, at, tier, (partition << 40) + group + used // step))
+            out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, (partition << 40) + first + k, at, tier, step))
             at += len(ids) // 4
-        used += tier
-    frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-    return frame.astype({"doc_id": "Int64"}), -(-used // step)
+    return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, end_id: int = 0) -> DataFrame:
@@ -187,13 +205,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
 
     Padding is ``tier`` less the lengths of a sequence's pieces, and not zero
     only in a partition's last window. Columns other than ``doc_id`` and
-    ``text`` are ignored; ids may be null or repeat.
+    ``text`` are ignored; ids may be null or repeat. A very long text is cut
+    into full windows of the longest tier, one after the other.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, packer = WordEncoder(tokenizer_path), Packer(tiers)
-        partition, first, group = TaskContext.get().partitionId(), 0, 0
+        partition, first, steps = TaskContext.get().partitionId(), 0, Steps(step_tokens)
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(), batch["text"].to_numpy()
             for at in range(0, len(batch), BATCH_DOCS):
@@ -202,11 +221,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
                     full += packer.route(None if pd.isna(doc) else int(doc), encoder.encode(text or "") + end)
                 full += packer.windows()
                 if full:
-                    frame, groups = _rows(full, partition, first, group, step_tokens)
-                    first, group = first + len(full), group + groups
-                    yield frame
+                    yield _rows(full, partition, first, steps)
+                    first += len(full)
         last = list(packer.rest())
         if last:
-            yield _rows(last, partition, first, group, step_tokens)[0]
+            yield _rows(last, partition, first, steps)
 
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
