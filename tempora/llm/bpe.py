@@ -3,11 +3,12 @@
 An element is the encoding of a stretch of text. ``join`` is associative: the
 encoding of a joined text is that of its halves but for a window around the
 seam. The window grows outward, doubling, until either side shows a place
-where every tokenisation must break whatever stands around it: a space after
-a character that is no white space, or sentence punctuation or a line end
-after a letter. No alternative of the split pattern runs across such a place
-or looks past it, so tokens outside the window are final. Decoding
-concatenates the bytes of halves up the tree.
+where every tokenisation by the split pattern must break whatever stands around
+it: a space after a character that is no white space, or sentence punctuation or
+a line end after a letter. No alternative of the pattern runs across such a place
+or looks past it, so tokens outside the window are final. For a pattern whose
+sure places are not known (``SURE_BREAKS``) the window grows to the whole stretch,
+which is right for any pattern. Decoding concatenates the bytes of halves up the tree.
 
 Texts stay where they are (no shuffle); null texts are empty texts and get no
 ids. Each row is independent, so equal rows, clashing column names and lost
@@ -23,14 +24,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 
-LEAF_CHARS = 8192
+LEAF_CHARS = 512
 FIRST_WINDOW = 64
 
-#: Places where any tokenisation breaks.
-_BREAK = re.compile(r"(?<=\S) |(?<=[A-Za-z])[.,\n]")
+#: Split patterns, and places where any tokenisation by them breaks.
+SURE_BREAKS = {public_tokenizers.PATTERN: re.compile(r"(?<=\S) |(?<=[A-Za-z])[.,\n]")}
+_NOWHERE = re.compile(r"(?!)")
 
 
 @lru_cache(maxsize=4)
@@ -41,13 +44,13 @@ def load_ranks(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(name="ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _last_break(text: str, lo: int, hi: int, first: int = FIRST_WINDOW) -> int:
+def _last_break(sure: re.Pattern, text: str, lo: int, hi: int, first: int = FIRST_WINDOW) -> int:
     """The last sure break after ``lo`` and before ``hi``; ``lo`` if there is none."""
     reach = first
     while True:
         start = max(lo, hi - reach)
         found = -1
-        for m in _BREAK.finditer(text, max(lo + 1, start), hi):
+        for m in sure.finditer(text, max(lo + 1, start), hi):
             found = m.start()
         if found > lo:
             return found
@@ -56,12 +59,12 @@ def _last_break(text: str, lo: int, hi: int, first: int = FIRST_WINDOW) -> int:
         reach *= 2
 
 
-def _first_break(text: str, lo: int, hi: int, first: int = FIRST_WINDOW) -> int:
+def _first_break(sure: re.Pattern, text: str, lo: int, hi: int, first: int = FIRST_WINDOW) -> int:
     """The first sure break after ``lo`` and before ``hi``; ``hi`` if there is none."""
     reach = first
     while True:
         end = min(hi, lo + reach)
-        m = _BREAK.search(text, lo + 1, end)
+        m = sure.search(text, lo + 1, end)
         if m:
             return m.start()
         if end == hi:
@@ -71,7 +74,8 @@ def _first_break(text: str, lo: int, hi: int, first: int = FIRST_WINDOW) -> int:
 
 def join(encoding: tiktoken.Encoding, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
     """Encoding of ``text[lo:hi]`` from those of its halves."""
-    a, b = _last_break(text, lo, mid), _first_break(text, mid, hi)
+    sure = SURE_BREAKS.get(encoding._pat_str, _NOWHERE)
+    a, b = _last_break(sure, text, lo, mid), _first_break(sure, text, mid, hi)
     encode = encoding.encode_ordinary
     drop = len(encode(text[a:mid]))
     skip = len(encode(text[mid:b]))
