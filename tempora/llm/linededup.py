@@ -10,10 +10,10 @@
    its ``doc_id``, routed to the shard; what comes back are the hashes that
    a document must drop. Lines are neither joined nor moved.
 
-A hash in a third of all documents has as many probes, so every shard's
-arrays are copied to several salts and the probes spread over them; the copies
-are what one line in many documents cannot grow. A task holds one shard's
-arrays and one batch of probes.
+A hash in a third of all documents has as many probes, so a shard's arrays are
+copied as often as the documents of its lines ask for (the counts are known),
+and the probes spread over the copies. A task holds one shard's arrays and one
+batch of probes, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from tempora.llm.common import durable
 BLANK = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SECOND_SEED = 77
-SALTS = 16
+BROADCAST_ROWS = 1_000_000  # of the small table of copies (12 bytes each)
+PROBES = 1 << 16  # of a shard, that stream past one copy of its arrays
 SHARD_KEYS = 1 << 17
 NO_DOC = -(1 << 63)  # stands for a null doc_id in the arrays
 LEVEL_BITS = 2  # bits a key in each level of the hash
@@ -143,11 +144,21 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
     return counts.withColumn("last_doc", F.coalesce("last_doc", F.lit(NO_DOC).cast("long"))).withColumn("shard", shard_of(F.col("h1"), shards)).groupBy("shard").applyInPandas(build, "shard int, hash binary, fingerprints binary, n_docs binary, last_doc binary")
 
 
-def probe(index: DataFrame, probes: DataFrame, shards: int, min_docs: int, salts: int = SALTS) -> DataFrame:
+def copies_of(counts: DataFrame, shards: int, probes: int = PROBES) -> DataFrame:
+    """``shard, salts``: copies of the arrays of every shard whose lines have more than ``probes`` holders."""
+    load = counts.groupBy(shard_of(F.col("h1"), shards).alias("shard")).agg(F.sum("n_docs").alias("load"))
+    return load.where(F.col("load") > probes).select("shard", F.ceil(F.col("load") / probes).cast("int").alias("salts"))
+
+
+def probe(index: DataFrame, probes: DataFrame, copies: DataFrame, shards: int, min_docs: int) -> DataFrame:
     """``doc_id, h1, h2`` of the probes whose line is in ``min_docs`` documents and kept by another."""
+    if copies.count() <= BROADCAST_ROWS:  # else Spark joins them by shuffle
+        copies = F.broadcast(copies)
     zero, none, no_doc = F.lit(0).cast("long"), F.lit(None).cast("binary"), F.lit(NO_DOC).cast("long")
-    arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("shard", "salt", F.lit(0).alias("kind"), zero.alias("doc_id"), zero.alias("h1"), zero.alias("h2"), "hash", "fingerprints", "n_docs", "last_doc")
-    asked = probes.select(shard_of(F.col("h1"), shards).alias("shard"), F.pmod(F.xxhash64("doc_id", "h1"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.coalesce(F.col("doc_id").cast("long"), no_doc).alias("doc_id"), "h1", "h2", none.alias("hash"), none.alias("fingerprints"), none.alias("n_docs"), none.alias("last_doc"))
+    salts = F.coalesce("salts", F.lit(1))
+    arrays = index.join(copies, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("shard", "salt", F.lit(0).alias("kind"), zero.alias("doc_id"), zero.alias("h1"), zero.alias("h2"), "hash", "fingerprints", "n_docs", "last_doc")
+    asked = probes.withColumn("shard", shard_of(F.col("h1"), shards)).join(copies, "shard", "left")
+    asked = asked.select("shard", F.pmod(F.xxhash64("doc_id", "h1"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.coalesce(F.col("doc_id").cast("long"), no_doc).alias("doc_id"), "h1", "h2", none.alias("hash"), none.alias("fingerprints"), none.alias("n_docs"), none.alias("last_doc"))
     routed = asked.unionByName(arrays).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,14 +198,15 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_ke
     ``min_docs`` rows or more (``min_docs`` of 2 at least) is dropped, except
     from the rows with the largest ``doc_id`` that holds it. A null or empty
     text is one empty line. A null ``doc_id`` is smaller than any other. Rows
-    that repeat count each; those with one ``doc_id`` keep and drop together.
+    that repeat count each; those with one ``doc_id`` keep and drop together. Very
+    long texts are read whole; an empty table gives no rows.
     Columns named like the results are replaced.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     counts = durable(line_counts(docs, min_chars))
     shards = max(1, -(-counts.count() // shard_keys))
     probes = docs.select("doc_id", F.explode(F.array_distinct(F.filter(line_hashes(F.col("text"), min_chars), lambda x: x.isNotNull()))).alias("h")).select("doc_id", "h.h1", "h.h2")
-    hits = probe(build_index(counts, shards), probes, shards, min_docs)
+    hits = probe(build_index(counts, shards), probes, durable(copies_of(counts, shards)), shards, min_docs)
     drops = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
