@@ -39,6 +39,25 @@ def test_search(vectors, factor, least):
     assert hits >= least * total
 
 
+def test_repeated_queries_are_asked_once(spark):
+    rows = [(i, [float(i), 1.0], 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    asked = df.where("vec_id = 5").union(df.where("vec_id = 5")).union(spark.createDataFrame([(5, [7.0, 1.0], 0)], df.schema))
+    got = vptree.nearest(df, asked, 4, 1.0, shard_rows=8).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4] and [r.vec_id for r in got] == [4, 6, 3, 7]
+
+
+def test_vectors_of_odd_tables(spark, vectors):
+    """Empty tables, and further columns named like those used inside."""
+    empty = vectors.limit(0)
+    assert vptree.nearest(empty, empty).count() == 0 and capfilter.near_duplicates(empty).count() == 0
+    assert vptree.nearest(vectors, empty).count() == 0 and vptree.nearest(empty, vectors).count() == 0
+    clashing = vectors.selectExpr("*", "1 AS shard", "2 AS tree", "3 AS dims", "4 AS rank", "5 AS filter", "6 AS n", "7 AS h", "8 AS kept", "9 AS copies")
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert same(vptree.nearest(clashing, clashing, 3, 1.0), vptree.nearest(vectors, vectors, 3, 1.0))
+    assert same(capfilter.near_duplicates(clashing), capfilter.near_duplicates(vectors))
+
+
 def test_near_vectors(vectors):
     rows = [(r.vec_id, r.embedding, r.label) for r in vectors.collect()]
     want_links, groups = {i: 0 for i, _, _ in rows}, {i: i for i, _, _ in rows}
@@ -182,3 +201,36 @@ def test_languages_of_odd_corpora(spark):
     keys = docs.where(langid.fit_to_learn()).select("doc_id", "lang")
     assert len(langid.training_rows(keys, docs, "lang", 15)) == 15
     assert langid.learn(docs, 2).lexicon is not None and len(langid.learn(docs, 2).langs) == 1
+
+
+def test_code_switched_words_are_labelled_apart(spoken):
+    """Words of two languages in one text get their own labels, and the longer part names the text."""
+    field = langid.learn(spoken)
+    rng = np.random.default_rng(9)
+    xx, yy = sentences(rng, ["scha", "lich", "keit"], 14).split(), sentences(rng, ["mente", "cio", "que"], 6).split()
+    from tempora.llm.words import Words
+
+    words = Words([" ".join(xx + yy)])
+    emitted, _ = field.emissions(words.forms)
+    probs = langid.marginals(*langid.forward_backward(emitted[words.at], words.lengths, field.steps, field.first)[:2])
+    told = [field.langs[i] for i in probs.argmax(axis=1)]
+    assert np.mean([t == "xx" for t in told[:14]]) > 0.9 and np.mean([t == "yy" for t in told[14:]]) > 0.6
+    best, score = langid.label(field, [" ".join(xx + yy), " ".join(yy + xx[:2])])
+    assert [field.langs[i] for i in best] == ["xx", "yy"] and (score < 1).all()
+
+
+def test_letters_beyond_the_first_plane(spoken):
+    field = langid.learn(spoken)
+    none = len(field.langs)
+    best, score = langid.label(field, ["\U0001f600\U0001f680 \U0001f4a9", "\U00010400\U00010401", "123 \U0001f600a"])
+    assert best[0] == none and score[0] == 0 and best[1] < none and best[2] < none
+
+
+def test_models_ignore_further_columns_and_keep_repeats(spark, spoken):
+    labels = spoken.select("doc_id", "toxic")
+    odd = spoken.selectExpr("*", "1 AS score", "2 AS _n", "3 AS held_out", "'x' AS lang_pred").union(spoken.selectExpr("*", "1", "2", "3", "'x'").where("doc_id = 3"))
+    assert langid.identify(odd).count() == 241
+    scored = toxicity.score_documents(odd, toxicity.learn(odd, labels))
+    assert scored.count() == 241 and scored.where("doc_id = 3").select("score").distinct().count() == 1
+    long = spark.createDataFrame([(1, "scha " * 60_000 + "blorgo")], "doc_id long, text string")
+    assert toxicity.score_documents(long, toxicity.learn(spoken, labels)).first().score > 0.5
