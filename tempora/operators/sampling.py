@@ -44,3 +44,24 @@ def chunked(rows: DataFrame, size: int, group: list[str], order: list[str]) -> D
     """Rows with the number of the fixed-size group they fall into."""
     at = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     return rows.withColumn("chunk", F.floor(at / size).cast("long"))
+
+
+def linspace_indexes(n: Column, room: Column) -> Column:
+    """All of ``n`` indexes if they fit, else ``room`` spread evenly with both ends, halves rounded to even, none twice."""
+    every = F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)).cast("long") - 1)
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(room, F.lit(1)).cast("long") - 1), lambda i: F.bround(i.cast("double") * (n - 1) / F.greatest(room - 1, F.lit(1)), 0).cast("long"))
+    return F.when(n <= 0, F.array().cast("array<bigint>")).when(n <= room, every).otherwise(F.array_distinct(at))
+
+
+def hard_cap(requests: DataFrame, cap: int, frames: str = "frames") -> DataFrame:
+    """The requests as they are; one that shows more than ``cap`` frames fails the query."""
+    over = F.concat(F.lit("a request shows "), F.col(frames).cast("string"), F.lit(f" frames, {cap} at most"))
+    return requests.withColumn(frames, F.when(F.col(frames) <= cap, F.col(frames)).otherwise(F.raise_error(over).cast(dict(requests.dtypes)[frames])))
+
+
+def pinned(manifest: DataFrame, pool: DataFrame, key: str, order: str) -> DataFrame:
+    """The pool's rows of a manifest, in its order; an id that the pool lacks fails the query."""
+    missing = F.concat(F.lit("not in the pool: "), F.col(key).cast("string"))
+    there = pool.withColumn("_there", F.lit(True))
+    joined = manifest.join(there, key, "left").withColumn(key, F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(missing).cast(dict(manifest.dtypes)[key])))
+    return joined.drop("_there").orderBy(order)

@@ -106,3 +106,29 @@ def register(name: str, selector: Selector) -> None:
     if name in SELECTORS:
         raise ValueError(f"a selector named {name} exists")
     SELECTORS[name] = selector
+
+
+def discover(skip: tuple[str, ...] = ()) -> list[str]:
+    """Names of all selectors, sorted, without those to skip."""
+    return sorted(set(SELECTORS) - set(skip))
+
+
+def load(name: str) -> Selector:
+    """The selector of a name; an unknown one is an error that lists those there are."""
+    if name not in SELECTORS:
+        raise KeyError(f"no selector {name}; there are {', '.join(discover())}")
+    return SELECTORS[name]
+
+
+def run_program(frames: DataFrame, questions: DataFrame, build: Callable[[DataFrame], DataFrame], select: Selector, answer: Callable[[Column], Column], budget: int) -> DataFrame:
+    """``video_id, prediction, frames``: a program from its parts.
+
+    ``build`` turns frames into a memory (the frames it keeps, with what it adds
+    to them), ``select`` picks frames of it within the budget, and ``answer``
+    reads the captions of those shown, in order. Videos without frames get ``?``.
+    """
+    memory = build(frames)
+    shown = memory.join(select(memory, budget), ["video_id", "frame_index"], "left_semi")
+    context = shown.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "caption"))), lambda x: x["caption"]), "\n").alias("context"), F.count(F.lit(1)).alias("frames"))
+    told = questions.join(context, "video_id", "left")
+    return told.select("video_id", F.when(F.col("context").isNull(), "?").otherwise(answer(F.col("context"))).alias("prediction"), F.coalesce("frames", F.lit(0)).alias("frames"))

@@ -111,6 +111,13 @@ def needle_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("video_id", F.coalesce("hint", F.lit("A")).alias("predicted"), "answer")
 
 
+def needle_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program with a memory of its own: every second frame is kept, the best of them are shown, videos without frames cannot be told."""
+    f = needle_videos(spark).where("video_id % 10 <> 9")
+    questions = spark.range(VIDEOS).withColumnRenamed("id", "video_id")
+    return selection.run_program(f, questions, lambda x: x.where("frame_index % 2 = 0"), selection.load("retrieved"), stub_answer, BUDGET)
+
+
 MOCK = "video_id string, duration double, fps double, frames array<struct<t: int, caption: string, hint: string, size: array<int>>>"
 
 
@@ -140,7 +147,7 @@ def mock_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(videos).where((F.col("source") == "path") | (F.col("frame_index") % stride == 0))
 
 
-QUERIES = {f.__name__: f for f in (needle_accuracy, needle_uniform, mock_decode)}
+QUERIES = {f.__name__: f for f in (needle_accuracy, needle_uniform, needle_memory, mock_decode)}
 _NEEDLES = """v AS (SELECT v AS video_id, (v * 37 + 11) % 60 AS needle, (v * 7 + 3) % 4 AS ans FROM range(200) r(v)), f AS (SELECT video_id, i AS frame_index, i * 2.0::DOUBLE AS t, 60::BIGINT AS n, i = needle AS hit, ans,
 round(((i * 29 + video_id * 13) % 101 / 101.0::DOUBLE) * 0.8::DOUBLE + CASE WHEN i = needle THEN video_id % 5 / 5.0::DOUBLE ELSE 0 END, 6) AS score FROM v, range(60) r(i)),
 b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) AS r FROM f), nd AS (SELECT video_id, frame_index, n, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 9) AS x FROM f WINDOW w AS (PARTITION BY video_id))"""
@@ -153,6 +160,8 @@ UNION SELECT 'scenes', video_id, frame_index FROM (SELECT * FROM f QUALIFY row_n
 g AS (SELECT program, p.video_id, bool_or(hit) OR any_value(ans) = 0 AS ok, count(*) AS frames FROM picks p JOIN f USING (video_id, frame_index) GROUP BY 1, 2)"""
 ORACLE = {
     "needle_accuracy": f"WITH RECURSIVE {_NEEDLES}, {_aks(8, 'nd')}, {_PICKS} SELECT program, count(*) AS videos, count(*) FILTER (WHERE ok) AS correct, CAST(sum(frames) AS BIGINT) AS frames FROM g GROUP BY 1",
+    "needle_memory": f"""WITH {_NEEDLES}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_index) AS q FROM f WHERE frame_index % 2 = 0 AND video_id % 10 <> 9), g AS (SELECT video_id, bool_or(hit) AS hit, any_value(ans) AS ans, count(*) AS frames FROM k WHERE q <= 8 GROUP BY 1)
+SELECT v.video_id, CASE WHEN g.video_id IS NULL THEN '?' WHEN hit THEN chr(CAST(65 + g.ans AS INT)) ELSE 'A' END AS prediction, coalesce(frames, 0) AS frames FROM v LEFT JOIN g USING (video_id)""",
     "mock_decode": """SELECT 'mock_' || conv_id AS video_id, 'mock' AS source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS frame_index, turn * 2.0::DOUBLE AS t, left(text, 20) || CASE WHEN turn = conv_id % 5 THEN '  ANSWER_HINT: B' ELSE '' END AS caption,
 CAST(CASE WHEN turn % 2 = 1 THEN 320 ELSE 224 END AS INT) AS width, CAST(CASE WHEN turn % 2 = 1 THEN 240 ELSE 224 END AS INT) AS height FROM conversations WHERE conv_id % 4 <> 0 QUALIFY (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 2 = 0
 UNION ALL SELECT DISTINCT '/videos/' || conv_id || '.mp4', 'path', CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS INT) FROM conversations WHERE conv_id % 4 = 0""",

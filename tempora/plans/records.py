@@ -118,7 +118,19 @@ def first_batches(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame:
     return c.groupBy("video_id", "call").agg(F.count(F.lit(1)).alias("captions"), F.round(F.min("t"), 6).alias("from_t"))
 
 
-QUERIES = {f.__name__: f for f in (seeded_shuffle, resize_dims, modal_value, positional_fallback_join, context_length, event_summaries, policy_check, test_system_set, concat_then_split, fresh_candidates, baseline_cache, first_batches)}
+def modal_folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the path stated for their id; of several paths the one in the language's most frequent folder, then the first."""
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
+    paths = labels.select("doc_id", F.explode(F.array((F.col("doc_id") % 3).cast("string"), (F.col("quality") + 3).cast("string"))).alias("folder"))
+    paths = d.join(paths, "doc_id").withColumn("path", F.concat_ws("/", "folder", "doc_id"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "folder")
+    mode = paths.groupBy("lang", "folder").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(order)).where("r = 1").select("lang", F.col("folder").alias("modal"))
+    pick = Window.partitionBy("doc_id").orderBy(F.when(F.col("folder") == F.col("modal"), 0).otherwise(1), "path")
+    best = paths.join(mode, "lang").withColumn("r", F.row_number().over(pick)).where("r = 1").select("doc_id", "path")
+    return d.select("doc_id").join(best, "doc_id", "left")
+
+
+QUERIES = {f.__name__: f for f in (seeded_shuffle, resize_dims, modal_value, positional_fallback_join, context_length, event_summaries, policy_check, test_system_set, concat_then_split, fresh_candidates, baseline_cache, first_batches, modal_folder_paths)}
 ORACLE = {
     "seeded_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS position FROM documents",
     "resize_dims": "WITH p AS (SELECT p_partkey, p_size * 16 AS w, p_size * 9 + 1 AS h FROM part) SELECT p_partkey, CASE WHEN greatest(w, h) > 224 THEN greatest(1, w * 224 // greatest(w, h)) ELSE w END::BIGINT AS width, CASE WHEN greatest(w, h) > 224 THEN greatest(1, h * 224 // greatest(w, h)) ELSE h END::BIGINT AS height FROM p",
@@ -135,4 +147,6 @@ UNION SELECT c FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.s >= a.s AND
     "fresh_candidates": "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_custkey % 50 = s.s_suppkey % 50 AND c.c_acctbal >= s.s_acctbal)",
     "baseline_cache": "SELECT s_suppkey, coalesce(n_regionkey < 3, false) AS cached FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey",
     "first_batches": "WITH tl AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e9 AS t FROM events) SELECT video_id, frame_index // 8 AS call, count(*) AS captions, round(min(t), 6) AS from_t FROM tl GROUP BY 1, 2",
+    "modal_folder_paths": """WITH p AS (SELECT d.doc_id, d.lang, unnest([(l.doc_id % 3)::VARCHAR, (l.quality + 3)::VARCHAR]) AS folder FROM documents d JOIN labels l USING (doc_id)), m AS (SELECT lang, folder AS modal FROM p GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, folder) = 1),
+b AS (SELECT doc_id, folder || '/' || doc_id AS path FROM p JOIN m USING (lang) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN folder = modal THEN 0 ELSE 1 END, folder || '/' || doc_id) = 1) SELECT documents.doc_id, path FROM documents LEFT JOIN b USING (doc_id)""",
 }

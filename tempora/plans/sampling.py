@@ -137,7 +137,45 @@ def candidate_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(a.union(b).distinct(), "union").unionByName(tag(a.intersect(b), "intersect")).unionByName(tag(a.exceptAll(b), "except"))
 
 
-QUERIES = {f.__name__: f for f in (uniform_k, time_range_k, ingest_budget, budget_ledger, stride_sample, anchor_every_10, decimate_160, chunk_groups, time_window_filter, clamp_first_k, context_outside_spans, point_in_intervals, merge_intervals, interval_total, bracket_centres, evidence_gap, pinned_split, priority_union, candidate_set_ops)}
+def pinned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest's documents out of the pool of all, in its order (by a checksum); a missing one would fail the query."""
+    manifest = table(spark, sf_dir, "labels").where("doc_id % 2 = 0").select("doc_id", F.left(F.md5(F.col("doc_id").cast("string")), F.lit(8)).alias("at")).dropDuplicates(["doc_id"])
+    pool = table(spark, sf_dir, "documents").select("doc_id", "lang").dropDuplicates(["doc_id"])
+    return sampling.pinned(manifest, pool, "doc_id", "at").select("doc_id", "at", "lang")
+
+
+def linspace_thinning(spark: SparkSession, sf_dir: str, room: int = 36) -> DataFrame:
+    """A pool of frames thinned evenly to what three grids of twelve hold."""
+    tl = timeline(spark, sf_dir)
+    return sampling.take(tl, sampling.linspace_indexes(F.col("n"), F.lit(room))).select("video_id", "frame_index")
+
+
+def hard_cap_check(spark: SparkSession, sf_dir: str, cap: int = 16) -> DataFrame:
+    """Requests of sixteen frames at most, under a cap that fails the query if one shows more."""
+    c = sampling.chunked(timeline(spark, sf_dir), 16, ["video_id"], ["frame_index"]).groupBy("video_id", "chunk").agg(F.count(F.lit(1)).alias("frames"))
+    return sampling.hard_cap(c, cap)
+
+
+def ingest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was ingested over all videos: their number, frames and visual tokens a video, and frames a question."""
+    tl = timeline(spark, sf_dir)
+    v = tl.groupBy("video_id").agg(F.max("t").alias("duration"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "view").alias("questions"))
+    v = v.withColumn("frames", sampling.ingest_target(F.col("duration"), F.col("n"), F.lit(320)))
+    videos = F.greatest(F.lit(1), F.count(F.lit(1)))
+    return v.agg(F.count(F.lit(1)).alias("ingest_videos"), F.round(F.sum("frames") / videos, 6).alias("ingest_frames_avg"), F.round(F.sum(F.col("frames") * 64) / videos, 6).alias("ingest_tokens_avg"), F.round(F.sum("frames") / F.greatest(F.lit(1), F.sum("questions")), 6).alias("frames_per_question"))
+
+
+def evidence_strata(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
+    """Per question: the evidence window's length, the gap to the nearest frame shown, whether one lies inside, and how many do."""
+    tl = timeline(spark, sf_dir)
+    shown = sampling.take(tl, sampling.uniform_indexes(F.col("n"), F.lit(k))).select("video_id", F.col("t").alias("shown"))
+    window = tl.where("event_type = 'purchase'").select("video_id", "event_id", F.greatest(F.lit(0.0), F.col("t") - 20).alias("lo"), (F.col("t") + F.col("value") % 50).alias("hi"))
+    inside = F.col("shown").between(F.col("lo"), F.col("hi"))
+    g = window.join(shown, "video_id").groupBy("event_id", "lo", "hi").agg(F.min(intervals.gap(F.col("shown"), F.col("lo"), F.col("hi"))).alias("gap"), F.count_if(inside).alias("frames"))
+    return g.select("event_id", F.round(F.col("hi") - F.col("lo"), 6).alias("window_s"), F.round("gap", 6).alias("gap_s"), (F.col("frames") > 0).alias("visible_strict"), F.col("frames").alias("frames_shown"))
+
+
+QUERIES = {f.__name__: f for f in (uniform_k, time_range_k, ingest_budget, budget_ledger, stride_sample, anchor_every_10, decimate_160, chunk_groups, time_window_filter, clamp_first_k, context_outside_spans, point_in_intervals, merge_intervals, interval_total, bracket_centres, evidence_gap, pinned_split, priority_union, candidate_set_ops, pinned_rows, linspace_thinning, hard_cap_check, ingest_rollup, evidence_strata)}
 
 _UNIFORM = "SELECT DISTINCT v.video_id, CAST(floor(i * (CAST(v.n AS DOUBLE) / least({k}, v.n))) AS BIGINT) AS frame_index FROM (SELECT video_id, count(*) AS n FROM {src} GROUP BY 1) v, range({k}) r(i) WHERE i < least({k}, v.n)"
 _SPANS = "spans AS (SELECT video_id, greatest(0.0, t - 30) AS lo, t + 30 AS hi FROM tl WHERE event_type = 'purchase')"
@@ -174,4 +212,11 @@ SELECT w.video_id, round(min(greatest(0.0, lo - t, t - hi)), 6) AS gap, coalesce
     "priority_union": f"WITH {TIMELINE_SQL} SELECT video_id, frame_index, CASE WHEN event_type = 'error' THEN 'burst' ELSE 'anchor' END AS origin FROM tl WHERE event_type = 'error' OR frame_index % 3 = 0",
     "candidate_set_ops": f"""WITH {TIMELINE_SQL} SELECT video_id, count(*) AS n, 'union' AS op FROM tl WHERE value > 20 OR frame_index % 2 = 0 GROUP BY 1
 UNION ALL SELECT video_id, count(*), 'intersect' FROM tl WHERE value > 20 AND frame_index % 2 = 0 GROUP BY 1 UNION ALL SELECT video_id, count(*), 'except' FROM tl WHERE value > 20 AND frame_index % 2 <> 0 GROUP BY 1""",
+    "pinned_rows": "SELECT DISTINCT l.doc_id, left(md5(l.doc_id::VARCHAR), 8) AS \"at\", d.lang FROM labels l JOIN documents d USING (doc_id) WHERE l.doc_id % 2 = 0",
+    "linspace_thinning": f"WITH {TIMELINE_SQL}, v AS (SELECT DISTINCT video_id, n FROM tl) SELECT DISTINCT video_id, CASE WHEN n <= 36 THEN i ELSE CAST(round_even(CAST(i AS DOUBLE) * (n - 1) / 35, 0) AS BIGINT) END AS frame_index FROM v, range(36) r(i) WHERE i < n",
+    "hard_cap_check": f"WITH {TIMELINE_SQL} SELECT video_id, frame_index // 16 AS chunk, count(*) AS frames FROM tl GROUP BY 1, 2",
+    "ingest_rollup": f"""WITH {TIMELINE_SQL}, v AS (SELECT video_id, max(t) AS dur, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS q FROM tl GROUP BY 1), f AS (SELECT *, greatest(1, least(320, CASE WHEN dur > 0 THEN CAST(round_even(dur * 2, 0) AS BIGINT) ELSE n END)) AS f FROM v)
+SELECT count(*) AS ingest_videos, round(sum(f) / count(*)::DOUBLE, 6) AS ingest_frames_avg, round(sum(f * 64) / count(*)::DOUBLE, 6) AS ingest_tokens_avg, round(sum(f) / greatest(1, sum(q))::DOUBLE, 6) AS frames_per_question FROM f""",
+    "evidence_strata": f"""WITH {TIMELINE_SQL}, pick AS ({_UNIFORM.format(k=8, src='tl')}), sh AS (SELECT tl.video_id, tl.t AS shown FROM tl JOIN pick USING (video_id, frame_index)), w AS (SELECT video_id, event_id, greatest(0.0, t - 20) AS lo, t + value % 50 AS hi FROM tl WHERE event_type = 'purchase')
+SELECT event_id, round(hi - lo, 6) AS window_s, round(min(greatest(0.0, lo - shown, shown - hi)), 6) AS gap_s, bool_or(shown BETWEEN lo AND hi) AS visible_strict, count(*) FILTER (WHERE shown BETWEEN lo AND hi) AS frames_shown FROM w JOIN sh USING (video_id) GROUP BY event_id, lo, hi""",
 }

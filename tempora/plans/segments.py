@@ -56,11 +56,13 @@ def session_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("video_id", "cluster").agg(F.min("frame_index").alias("first_frame"), F.count(F.lit(1)).alias("members"))
 
 
-def shot_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames whose value jumps by more than half the video's range from the one before."""
+def shot_boundaries(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+    """Frames whose mean colour differs from the last frame with pixels by more than half the scale; frames without pixels are passed over."""
+    cents = F.floor(F.col("value") * 100).cast("long")
+    pixels = timeline(spark, sf_dir).where("event_type <> 'signup'")
     order = Window.partitionBy("video_id").orderBy("frame_index")
-    tl = timeline(spark, sf_dir).withColumn("range", F.max("value").over(Window.partitionBy("video_id")) - F.min("value").over(Window.partitionBy("video_id")))
-    return tl.withColumn("jump", F.abs(F.col("value") - F.lag("value").over(order))).where("jump > 0.5 * range").select("video_id", "frame_index")
+    apart = sum((F.abs(cents * m % 256 - F.lag(cents * m % 256).over(order)) for m in (7, 13, 29)), F.lit(0)) / (3 * 255.0)
+    return pixels.withColumn("jump", apart).where(F.col("jump") > threshold).select("video_id", "frame_index")
 
 
 def focus_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +120,7 @@ ORACLE = {
     "neighbor_events": "WITH e AS (SELECT conv_id AS video_id, turn // 2 AS event, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1, 2), b AS (SELECT video_id, event AS best FROM e QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY chars DESC, event) = 1) SELECT e.video_id, event, best, chars FROM e JOIN b USING (video_id) WHERE event BETWEEN best - 1 AND best + 1",
     "tumbling_clips": f"WITH {TIMELINE_SQL}, c AS (SELECT video_id, frame_index, CAST(floor(t / 160.0) AS BIGINT) AS clip, t FROM tl), u AS (SELECT video_id, frame_index, clip FROM c UNION ALL SELECT video_id, frame_index, clip - 1 FROM c WHERE t - clip * 160.0 <= 1e-6 AND clip > 0), g AS (SELECT video_id, clip, list(frame_index ORDER BY frame_index) AS x FROM u GROUP BY 1, 2) SELECT video_id, clip, len(x) AS members, x[len(x) // 2 + 1] AS middle FROM g",
     "session_clusters": f"WITH {TIMELINE_SQL}, {_CLUSTERS} SELECT video_id, cluster, min(frame_index) AS first_frame, count(*) AS members FROM c GROUP BY 1, 2",
-    "shot_boundaries": f"WITH {TIMELINE_SQL}, j AS (SELECT video_id, frame_index, abs(value - lag(value) OVER (PARTITION BY video_id ORDER BY frame_index)) AS jump, max(value) OVER (PARTITION BY video_id) - min(value) OVER (PARTITION BY video_id) AS range FROM tl) SELECT video_id, frame_index FROM j WHERE jump > 0.5 * range",
+    "shot_boundaries": f"WITH {TIMELINE_SQL}, c AS (SELECT video_id, frame_index, CAST(floor(value * 100) AS BIGINT) AS c FROM tl WHERE event_type <> 'signup'), j AS (SELECT video_id, frame_index, (abs(c * 7 % 256 - lag(c * 7 % 256) OVER w) + abs(c * 13 % 256 - lag(c * 13 % 256) OVER w) + abs(c * 29 % 256 - lag(c * 29 % 256) OVER w)) / 765.0::DOUBLE AS jump FROM c WINDOW w AS (PARTITION BY video_id ORDER BY frame_index)) SELECT video_id, frame_index FROM j WHERE jump > 0.5",
     "focus_window": f"WITH {TIMELINE_SQL}, {_FOCUS} SELECT * FROM focus",
     "multi_scale": f"WITH {TIMELINE_SQL}, {_FOCUS}, o AS (SELECT video_id, frame_index FROM tl WHERE frame_index % greatest(1, n // 8) = 0 AND frame_index // greatest(1, n // 8) < 8) SELECT *, 'overview' AS scale FROM o UNION ALL SELECT tl.video_id, tl.frame_index, 'focus' FROM tl JOIN focus f ON f.video_id = tl.video_id AND tl.frame_index >= start AND tl.frame_index < start + width ANTI JOIN o ON o.video_id = tl.video_id AND o.frame_index = tl.frame_index",
     "pool_step_median": f"WITH {TIMELINE_SQL}, d AS (SELECT video_id, t - lag(t) OVER (PARTITION BY video_id ORDER BY frame_index) AS d FROM tl) SELECT video_id, round(greatest(1.0::DOUBLE, coalesce(median(d), 6.0)), 6) AS step FROM d GROUP BY 1",

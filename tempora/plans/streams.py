@@ -46,6 +46,13 @@ def online_state_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("week").agg(F.count("predicted").alias("predicted"), F.round(F.avg(F.abs(F.col("value") - F.col("predicted"))), 6).alias("error"))
 
 
+def offline_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five epochs over labelled batches, judged on events kept apart after each, with an early stop."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    batches = [e.where((F.col("event_id") % 6 == i) & (F.col("event_id") % 7 != 0)) for i in range(5)]
+    return runs.epochs(batches, e.where("event_id % 7 = 0"), "user_id", "value")
+
+
 def online_prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day is a batch: each value is predicted from the user's days before."""
     e = table(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts"))
@@ -115,11 +122,15 @@ def completion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", F.row_number().over(arrived).alias("arrived"), F.row_number().over(asked).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, online_state_loop, online_prequential, response_cache_misses, tool_correlation, file_stats, context_completeness, early_stopping, completion_order)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, online_state_loop, offline_epochs, online_prequential, response_cache_misses, tool_correlation, file_stats, context_completeness, early_stopping, completion_order)}
 ORACLE = {
     "stream_tumbling": "SELECT CAST(day(ts) AS INT) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY date_trunc('day', ts), 1, 2",
     "stream_sessions": "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, count(*) AS n, min(event_id) AS least_event FROM b GROUP BY user_id, s",
     "online_state_loop": "WITH e AS (SELECT CAST(day(ts) // 7 AS INT) AS week, user_id, value FROM events), p AS (SELECT week, value, avg(value) OVER (PARTITION BY user_id ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted FROM e) SELECT week, count(predicted) AS predicted, round(avg(abs(value - predicted)), 6) AS error FROM p GROUP BY 1",
+    "offline_epochs": """WITH j AS (SELECT user_id, value FROM events WHERE event_id % 7 = 0), s AS (SELECT k.e AS epoch, user_id, avg(value) AS m FROM events, range(1, 6) k(e) WHERE event_id % 7 <> 0 AND event_id % 6 < k.e GROUP BY 1, 2),
+x AS (SELECT k.e AS epoch, round(avg(abs(j.value - coalesce(s.m, 0))), 6) AS error FROM range(1, 6) k(e) CROSS JOIN j LEFT JOIN s ON s.epoch = k.e AND s.user_id = j.user_id GROUP BY 1),
+b AS (SELECT *, (SELECT arg_min(y.epoch, (y.error, y.epoch)) FROM x y WHERE y.epoch <= x.epoch) AS best_so_far FROM x), c AS (SELECT coalesce(min(epoch), 5) AS last FROM b WHERE epoch - best_so_far >= 2)
+SELECT CAST(b.epoch AS INT) AS epoch, error, b.epoch = (SELECT best_so_far FROM b z, c WHERE z.epoch = c.last) AS best, last < 5 AS stopped FROM b, c WHERE b.epoch <= last""",
     "online_prequential": "WITH e AS (SELECT CAST(day(ts) AS INT) AS day, user_id, value FROM events), p AS (SELECT day, value, avg(value) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted FROM e) SELECT day, count(predicted) AS predicted, round(avg(abs(value - predicted)), 6) AS error FROM p GROUP BY 1",
     "response_cache_misses": "WITH d AS (SELECT doc_id, sha256(concat_ws('|', 'model', lang, text)) AS key FROM documents) SELECT key, min(doc_id) AS first_request, count(*) AS requests FROM d WHERE doc_id % 3 <> 0 AND key NOT IN (SELECT key FROM d WHERE doc_id % 3 = 0) GROUP BY 1",
     "tool_correlation": "SELECT c.conv_id AS video_id, count(*) AS calls, count(r.text) AS answered, CAST(sum(length(c.text)) AS BIGINT) AS chars_in, CAST(sum(length(r.text)) AS BIGINT) AS chars_out FROM conversations c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant' WHERE c.role = 'user' GROUP BY 1",

@@ -55,12 +55,12 @@ def entity_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timeline events as questions that name one or two clocks."""
+    """Timeline events as questions that name one or two clocks (which begin anew after 5,900 units: minutes have two digits)."""
     tl = timeline(spark, sf_dir).withColumn("dur", F.max("t").over(Window.partitionBy("video_id")))
-    s = F.floor(F.col("t")).cast("long")
-    first, second = tx.clock(F.col("t")), tx.clock(F.col("t") + 35)
+    s = F.floor(F.col("t") % 5900).cast("long")
+    first, second = tx.clock(F.col("t") % 5900), tx.clock(F.col("t") % 5900 + 35)
     q = F.when(s % 3 == 0, F.concat(F.lit("What happens from "), first, F.lit("-"), second, F.lit("?"))).when(s % 3 == 1, F.concat(F.lit("What is seen at "), first, F.lit("?"))).otherwise(F.lit("What is it?"))
-    return tl.where("t < 5900").select("video_id", "event_id", "t", (F.col("dur") / 2).alias("dur"), q.alias("question"))
+    return tl.select("video_id", "event_id", "t", (F.col("dur") / 2).alias("dur"), q.alias("question"))
 
 
 def parse_clock_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ _SLOT = "CAST(concat('0x', right(md5(token), 2)) AS INT)"
 _STOPS = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 _ENT = f"ent AS (SELECT conv_id AS video_id, turn AS frame_index, unnest(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z\\-'']+')) AS entity FROM conversations), kept AS (SELECT * FROM ent WHERE length(entity) >= 4 AND entity NOT IN ({_STOPS}))"
 _S = "CAST(floor(t) AS BIGINT)"
-_ASKED = f"a0 AS (SELECT *, max(t) OVER (PARTITION BY video_id) / 2 AS dur, {_S} AS s FROM tl), asked AS (SELECT event_id, dur, s, CASE WHEN s % 3 = 0 THEN s WHEN s % 3 = 1 THEN s END AS c0, CASE WHEN s % 3 = 0 THEN s + 35 WHEN s % 3 = 1 THEN s END AS c1 FROM a0 WHERE t < 5900)"
+_ASKED = f"a0 AS (SELECT *, max(t) OVER (PARTITION BY video_id) / 2 AS dur, CAST(floor(t % 5900) AS BIGINT) AS s FROM tl), asked AS (SELECT event_id, dur, s, CASE WHEN s % 3 = 0 THEN s WHEN s % 3 = 1 THEN s END AS c0, CASE WHEN s % 3 = 0 THEN s + 35 WHEN s % 3 = 1 THEN s END AS c1 FROM a0)"
 _LETTER = "CASE event_id % 6 WHEN 3 THEN 'C' WHEN 4 THEN '?' ELSE CASE WHEN event_id % 5 < 4 THEN chr(CAST(event_id % 5 + 65 AS INT)) ELSE '?' END END"
 ORACLE = {
     "stub_embedding": f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM documents), c AS (SELECT doc_id, CAST({_SLOT} AS BIGINT) AS slot, count(*) AS n FROM t GROUP BY 1, 2) SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c",

@@ -60,12 +60,50 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_tagged(spark: SparkSession, path: str, schema: str, tag: str = "task_type") -> DataFrame:
-    """JSON files of a folder, each record with its file's stem as a tag."""
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
+def allowed(records: DataFrame, key: str, keys: list[str] | None) -> DataFrame:
+    """Records of the keys listed; all without a list."""
+    return records if not keys else records.where(F.col(key).isin(*keys))
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of Parquet files, of JSON arrays, or of JSON documents that hold them under ``data``.
+
+    The kind is told by the files' names; columns that are missing are null.
+    """
+    names = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").limit(1).collect()]
+    want = spark.createDataFrame([], schema).schema
+    if names and names[0].endswith(".parquet"):
+        return spark.read.schema(want).parquet(path)
+    whole = spark.read.option("wholetext", True).text(path)
+    bare = F.from_json("value", f"array<{want.simpleString()}>")
+    rows = F.when(F.ltrim("value").startswith("["), bare).otherwise(F.from_json("value", f"struct<data: array<{want.simpleString()}>>")["data"])
+    return whole.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def read_tagged(spark: SparkSession, path: str, schema: str, tag: str = "task_type", form: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+    """JSON files of a folder, each record with a tag out of its file's path (by default the file's stem)."""
+    stem = F.regexp_extract(F.col("_metadata.file_path"), form, 1)
     return spark.read.schema(schema).option("multiLine", True).json(path).select("*", stem.alias(tag))
 
 
+def tail_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a stream over an appended log of JSON lines has read when it has caught up."""
+    from tempora.streaming.runs import final_state
+
+    return final_state(spark.readStream.schema(schema).json(path))
+
+
+#: An agent's event: messages whose parts are calls of tools, or results that name a call.
+AGENT_EVENT = "type string, message struct<content: array<struct<type: string, id: string, name: string, tool_use_id: string, is_error: boolean>>>"
+
+
+def tool_calls(events: DataFrame) -> DataFrame:
+    """``id, name, is_error`` of every call in agent events; ``is_error`` is null where no result came."""
+    parts = events.select(F.explode("message.content").alias("p")).select("p.*")
+    results = parts.where("type = 'tool_result'").groupBy(F.col("tool_use_id").alias("id")).agg(F.max(F.coalesce("is_error", F.lit(False))).alias("is_error"))
+    return parts.where("type = 'tool_use'").select("id", "name").join(results, "id", "left")
+
+
 def file_index(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("mp4", "mkv", "webm", "avi", "mov")) -> DataFrame:
     """``name, path`` of all files below a folder, by base name and by stem; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
@@ -74,18 +112,24 @@ def file_index(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("m
     return kept.select(F.explode(F.array_distinct(F.array(base, F.regexp_replace(base, r"\.[^.]+$", "")))).alias("name"), "path")
 
 
-def resolve_videos(episodes: DataFrame, index: DataFrame, prefer: str = "/test/") -> DataFrame:
-    """Episodes with the path of their video: a folder named like the task first, then ``prefer``, then any."""
+def resolve_videos(episodes: DataFrame, index: DataFrame, prefer: str = "/test/", baked: str | None = None) -> DataFrame:
+    """Episodes with the path of their video: the path they state if the index has it, then a folder named like the task, then ``prefer``, then any."""
     j = episodes.join(index.withColumnRenamed("name", "video"), "video")
-    rank = F.when(F.instr(F.col("path"), F.concat(F.lit("/"), F.col("task_type"), F.lit("/"))) > 0, 0).when(F.instr("path", prefer) > 0, 1).otherwise(2)
+    rank = F.when(F.instr(F.col("path"), F.concat(F.lit("/"), F.col("task_type"), F.lit("/"))) > 0, 1).when(F.instr("path", prefer) > 0, 2).otherwise(3)
+    if baked:
+        rank = F.when(F.col("path") == F.col(baked), 0).otherwise(rank)
     order = Window.partitionBy("episode_id").orderBy(rank, "path")
     return j.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
 def result_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Result files below a folder with the run key their path states; broken files are skipped."""
+    """Result files below a folder with the run key their path states (``dataset, memory, model, seed``); broken files are skipped."""
     docs = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED").json(path)
-    return docs.select("*", F.col("_metadata.file_path").alias("file"))
+    file = F.col("_metadata.file_path")
+    part = lambda name: F.nullif(F.regexp_extract(file, f"/{name}=([^/]+)/", 1), F.lit(""))
+    key = tx.run_key(file)
+    stated = [F.coalesce(part(c), F.nullif(key[c], F.lit(""))).alias(c) for c in ("dataset", "memory", "model")]
+    return docs.select("*", file.alias("file"), *stated, key["seed"].alias("seed"))
 
 
 def correctness(documents: DataFrame) -> DataFrame:

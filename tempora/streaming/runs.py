@@ -85,3 +85,24 @@ def prequential(rows: DataFrame, batch: str, key: str, value: str) -> DataFrame:
     """
     before = Window.partitionBy(key).orderBy(batch).rangeBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("predicted", F.avg(value).over(before))
+
+
+def epochs(batches: list[DataFrame], judge: DataFrame, key: str, value: str, patience: int = 2) -> DataFrame:
+    """``epoch, error, best, stopped``: learn a batch an epoch, judge after each, stop after ``patience`` epochs without a smaller error.
+
+    The state (``key, total, n``) is a table between epochs; ``best`` marks the epoch whose state is restored.
+    """
+    spark = judge.sparkSession
+    folder = work_folder(spark)
+    state = spark.createDataFrame([], f"{key} {dict(judge.dtypes)[key]}, total double, n long")
+    told: list[tuple[int, float]] = []
+    for epoch, batch in enumerate(batches, 1):
+        learned = batch.groupBy(key).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+        state.unionByName(learned).groupBy(key).agg(F.sum("total").alias("total"), F.sum("n").alias("n")).write.parquet(f"{folder}/state-{epoch}")
+        state = load_state(spark, folder, epoch)
+        missed = judge.join(state, key, "left").select(F.avg(F.abs(F.col(value) - F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)))))
+        told.append((epoch, round(missed.first()[0] or 0.0, 6)))
+        best = min(told, key=lambda x: (x[1], x[0]))[0]
+        if epoch - best >= patience:
+            break
+    return spark.createDataFrame([(e, x, e == best, len(told) < len(batches)) for e, x in told], "epoch int, error double, best boolean, stopped boolean")
