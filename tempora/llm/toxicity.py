@@ -234,8 +234,11 @@ def bendings(word: str) -> list[str]:
     return [word, word[:mid] + word[mid] + word[mid:], word[:mid] + "x" + word[mid:], word[: mid - 1] + "q" + word[mid - 1 : mid + 1] + "z" + word[mid + 1 :], "x".join(word)]
 
 
-def train(sample: pd.DataFrame, rounds: int = 400, penalty: float = 1e-3) -> Scorer:
-    """Fit to ``text, toxic`` rows: the sentence that speaks loudest stands for its document."""
+def train(sample: pd.DataFrame, rounds: int = 400, penalty: float = 1e-3, odds: float | None = None) -> Scorer:
+    """Fit to ``text, toxic`` rows: the sentence that speaks loudest stands for its document.
+
+    ``odds`` are those of a toxic document where the sample comes from; scores are brought back to them.
+    """
     toxic = sample["toxic"].to_numpy(np.int64)
     texts = list(sample["text"])
     scorer = Scorer(choose_landmarks(texts, toxic))
@@ -269,7 +272,8 @@ def train(sample: pd.DataFrame, rounds: int = 400, penalty: float = 1e-3) -> Sco
         a, b = a + 0.5 * step[0], b + 0.5 * step[1]
         if np.abs(step).max() < 1e-6:
             break
-    scorer.slope, scorer.offset = max(float(a), 0.1), float(b)
+    shift = np.log(odds * (toxic == 0).sum() / (toxic == 1).sum()) if odds else 0.0
+    scorer.slope, scorer.offset = max(float(a), 0.1), float(b + shift)
     return scorer
 
 
@@ -281,11 +285,17 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Scorer:
     """The scorer fitted to at most ``per_label`` labelled documents of each kind, held-out ones apart."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return train(training_rows(known, docs, "toxic", per_label))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    odds = sizes[1] / sizes[0] if sizes.get(0) and sizes.get(1) else None
+    return train(training_rows(known, docs, "toxic", per_label), odds=odds)
 
 
 def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """``doc_id, score`` of every row; null and empty texts score as a sentence without insult."""
+    """``doc_id, score`` of every row; null and empty texts score as a sentence without insult.
+
+    Rows that repeat score alike; very long texts are scored whole, sentence by
+    sentence; an empty table gives no rows; other columns, clashing or not, are ignored.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scorer, protocol=5))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
