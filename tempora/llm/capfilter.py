@@ -182,7 +182,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, chunk: int = CHUNK)
     Rows link if their labels are equal and not null, and the cosine is ``least``
     or more. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, nor do rows with a null id. Rows that repeat
-    link with each other; their count is of rows. Other columns are ignored.
+    link with each other; their count is of rows. A cosine of exactly ``least``
+    links. An empty table gives no rows; other columns, clashing or not, are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
     able = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding")))

@@ -231,6 +231,8 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row of ``docs`` (``doc_id, text, lang``).
 
     Null texts and texts without a letter are ``und`` with score 0, as is every
-    text if no row has a language to learn. Rows that repeat get equal results.
+    text if no row has a language to learn. Rows that repeat get equal results; very
+    long texts are labelled whole; an empty table gives no rows; other columns,
+    clashing or not, are ignored.
     """
     return predict_languages(docs, learn(docs, per_language)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
