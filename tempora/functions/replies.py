@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempora.functions import text as tx
 
@@ -144,7 +145,7 @@ def json_blocks(text: Column) -> Column:
     return F.filter(both, lambda x: F.try_parse_json(x["body"]).isNotNull())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first balanced JSON object of a text, whatever stands around it."""
     decoder = json.JSONDecoder()

@@ -202,6 +202,8 @@ SELECT event_id, CASE WHEN NOT (dur > 0 AND low > dur) AND hi > lo THEN round(lo
     "options_format": "SELECT item_id, 'A) first' || chr(10) || array_to_string(list_transform(string_split(text, ' ')[1:3], lambda w, i: CASE WHEN regexp_matches(w, '^[A-Za-z][\\.\\):]') THEN w ELSE chr(CAST(65 + i AS INT)) || '. ' || w END), chr(10)) AS options FROM benchmark",
     "answer_letters": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' WHEN 3 THEN 'D' END AS letter FROM events",
     "cardinality_gate": "SELECT event_id, event_id % 6 = 0 AS counts, CAST(CASE WHEN event_id % 3 = 0 THEN 4 ELSE 2 END AS INT) AS quantities FROM events",
+    "ledger_parse": """WITH l AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 2 = 1 THEN ((i - 1) % 90 + 1) || '. ' || x ELSE x END), chr(10)) AS t FROM documents),
+m AS (SELECT doc_id, len(list_filter(string_split_regex(trim(t), '\\r?\\n'), lambda x: regexp_matches(x, '^\\s*(?:\\d{1,2}\\s*[.)\\]]|[-*•])\\s*\\S'))) AS n FROM l) SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 OR n > 60 THEN 0 ELSE n END AS INT) AS items FROM m""",
     "route_question": "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'why|how|reason|cause|overall|summar|purpose') THEN 'text' ELSE 'fusion' END AS route, CASE WHEN regexp_matches(lower(text), 'before|after|then|next|following|prior|earlier|later') THEN 'NEIGHBOR' WHEN regexp_matches(lower(text), 'overall|summar|main topic|throughout|how many times|in total') THEN 'VIDEO' ELSE 'EVENT' END AS mode FROM documents",
     "numbered_captions": "SELECT conv_id AS video_id, turn AS frame_index, CASE WHEN turn % 2 = 0 THEN role || ' 1 goes on|' || role || ' 2|' || role || ' 3|' || role END AS captions FROM conversations",
     "visual_token_cost": "SELECT p_brand AS brand, CAST(sum(greatest(1, p_size) * greatest(1, p_size * 14 // 28)) AS BIGINT) AS tokens, count(*) AS frames FROM part GROUP BY 1",
