@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.plans import files, leaderboard, navigation, programs, records, replies, retrieval, sampling, segments, selection, statistics, streams, text
+from tempora.plans import files, leaderboard, navigation, programs, records, replies, retrieval, sampling, segments, selection, services, statistics, streams, text
 
-_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection, text, streams, programs, records, replies, navigation, files)
+_MODULES = (retrieval, sampling, statistics, leaderboard, segments, selection, text, streams, programs, records, replies, navigation, files, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
