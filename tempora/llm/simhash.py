@@ -9,8 +9,8 @@ in the blocks with ``d1 + d2 <= t``, so the second lies within ``3 + d1`` and
 every anchor within covering radius plus threshold in that sense, and compared,
 at each anchor, with the fingerprints that are at home there.
 
-``keep_first`` decides by similarity instead of bits. Near copies are found by
-the word shingles they hold: several fingerprints of the shingle set, each dealt to its
+``keep_first`` decides by similarity. Near copies are found by the word
+shingles they hold: several fingerprints of the shingle set, each dealt to its
 anchors, where a wide fingerprint of the shingles (its bits estimate the angle
 between shingle sets, and so their Jaccard similarity) decides.
 
@@ -22,6 +22,7 @@ anchor is a spanning forest of its links, which loses no link between texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -29,11 +30,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tempora.llm.common import durable
+from tempora.llm.common import durable, release
 from tempora.llm.components import components, local_forest
 
 SEED = 42
@@ -165,7 +167,9 @@ def links(fps: DataFrame, threshold: int) -> DataFrame:
                 at, anchor, home = anchors(part, threshold)
                 yield pd.DataFrame({"anchor": anchor.astype(np.int32), "fp": part[at], "home": home})
 
-    dealt = fps.mapInPandas(replicate, "anchor int, fp long, home boolean").repartition("anchor").sortWithinPartitions("anchor")
+    # A fingerprint is small and its replicas are many, so tasks must not be left to their size.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fps.repartition(tasks, "fp").mapInPandas(replicate, "anchor int, fp long, home boolean").repartition("anchor").sortWithinPartitions("anchor")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
@@ -215,10 +219,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 
 # -- near copies by similarity ---------------------------------------------------
 
-TABLES = 25  # fingerprints dealt to anchors, of the 46 bits an anchor looks at
-PARTS = 18  # 64-bit parts of the shingle fingerprint, which the tables divide among them
-WIDE = 8  # the first of them, by which rows that meet are compared
-PAIRS_OUT = 1 << 20  # pairs of large cells judged at once
+TABLES = 18  # fingerprints dealt to anchors, of the 46 bits an anchor looks at
+PARTS = 13  # 64-bit parts of the wide fingerprint, which the tables divide among them
+SLACK = 2.5  # deviations by which a fingerprint may miss the similarity asked for
+CELL_ROWS = 4096  # rows of a cell that are compared in one task; larger cells are cut
+SMALL = 24  # cells up to this size are compared many at once
+PAIRS_OUT = 1 << 20  # pairs judged at once
 _LANE = np.uint64(0x0101010101010101)
 
 
@@ -270,28 +276,34 @@ def table_marks(marks: pd.Series) -> np.ndarray:
     return np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, 64 - 2 * BLOCK))), axis=2, bitorder="little").view("<i8")[:, :, 0]
 
 
-def bits_for(similarity: float) -> int:
-    """Bits of the wide fingerprint in which sets of this Jaccard similarity differ, on average."""
-    return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+def bits_for(similarity: float, slack: float = SLACK) -> int:
+    """Differing bits at which sets of this Jaccard similarity count as near copies: their mean, and ``slack`` deviations."""
+    share = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+    return int(64 * PARTS * share + slack * np.sqrt(64 * PARTS * share * (1 - share)))
 
 
-def _differing(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), np.int64)
-    for s in range(0, len(a), 1 << 18):
-        out[s : s + (1 << 18)] = np.bitwise_count(sig[a[s : s + (1 << 18)]] ^ sig[b[s : s + (1 << 18)]]).sum(axis=1)
+def _words_of(marks: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(marks), "<u8").reshape(-1, PARTS)
+
+
+def _near(sig: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether the rows ``a`` and ``b`` differ in at most ``most`` bits."""
+    out = np.empty(len(a), bool)
+    for s in range(0, len(a), 1 << 17):
+        out[s : s + (1 << 17)] = np.bitwise_count(sig[a[s : s + (1 << 17)]] ^ sig[b[s : s + (1 << 17)]]).sum(axis=1, dtype=np.int32) <= most
     return out
 
 
-def _cell_pairs(sig: np.ndarray, sure: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _cell_pairs(sig: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one large cell that differ in at most ``most`` bits, but for those that change nothing.
 
-    Rows within ``sure`` bits of a leader form its tree and are paired with it
-    only; any two rows of different trees are compared. So no pair that could
-    join two trees is lost, and many copies of one text cost rows, not pairs.
+    Rows near a leader form its tree and are paired with it only; any two rows
+    of different trees are compared. So nothing that could join two trees is
+    lost, and many copies of one text cost rows, not pairs.
     """
     tree, rest = np.full(len(sig), -1), np.arange(len(sig))
     while len(rest):
-        near = np.bitwise_count(sig[rest] ^ sig[rest[0]]).sum(axis=1) <= sure
+        near = np.bitwise_count(sig[rest] ^ sig[rest[0]]).sum(axis=1) <= most
         tree[rest[near]] = rest[0]
         yield np.full(int(near.sum()) - 1, rest[0]), rest[near][1:]
         rest = rest[~near]
@@ -299,158 +311,209 @@ def _cell_pairs(sig: np.ndarray, sure: int, most: int) -> Iterator[tuple[np.ndar
     own = sig[order]
     ends = np.append(np.flatnonzero(np.diff(tree[order])) + 1, len(sig))
     for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
-        for x in range(lo, hi, 128):
+        for x in range(lo, hi, 64):
             for y in range(hi, len(sig), 4096):
-                a, b = np.nonzero(np.bitwise_count(own[x : min(x + 128, hi), None] ^ own[None, y : y + 4096]).sum(axis=2) <= most)
+                a, b = np.nonzero(np.bitwise_count(own[x : min(x + 64, hi), None] ^ own[None, y : y + 4096]).sum(axis=2, dtype=np.int32) <= most)
                 if len(a):
                     yield order[a + x], order[b + y]
 
 
-def _sure_and_open(node: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray, sure: int) -> pd.DataFrame:
-    """Forest of the sure links, and all open ones between its trees."""
-    clear = bits <= sure
-    u, v = local_forest(node[a[clear]], node[b[clear]])
-    out = [pd.DataFrame({"a": u, "b": v, "bits": 0})]
-    if not clear.all():
-        root = dict(zip(u.tolist(), v.tolist(), strict=True))
-        x, y = node[a[~clear]], node[b[~clear]]
-        apart = np.array([root.get(i, i) != root.get(j, j) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
-        out.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "bits": bits[~clear]})[apart].drop_duplicates())
-    return pd.concat(out)
+class _Forest:
+    """Links gathered by a task, kept as a forest, so that no task puts out more links than it has nodes."""
 
+    def __init__(self) -> None:
+        self.a, self.b, self.new, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-def similar_links(nodes: DataFrame, sure: int, most_bits: int, threshold: int) -> DataFrame:
-    """``a, b, bits``: links of nodes (``node, mark``) that meet at an anchor and are similar.
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.new.append((a, b))
+        self.held += len(a)
+        if self.held > PAIRS_OUT:
+            self.shrink()
 
-    Up to ``sure`` differing bits they are (``bits`` is 0); up to ``most_bits`` an exact check must tell.
+    def shrink(self) -> None:
+        a, b = (np.concatenate([old, *new]) for old, new in zip((self.a, self.b), ([x for x, _ in self.new], [y for _, y in self.new]), strict=True))
+        self.a, self.b = local_forest(a, b) if len(a) else (a, b)
+        self.new, self.held = [], 0
 
-    Which anchors are anybody's home is told to all tasks as a bitmap, whose size is fixed
-    (``TABLES`` times 2^24 bits), so replicas that would meet nobody are not sent.
-    """
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(self) -> Iterator[pd.DataFrame]:
+        self.shrink()
+        for s in range(0, len(self.a), 10_000):
+            yield pd.DataFrame({"a": self.a[s : s + 10_000], "b": self.b[s : s + 10_000]})
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins and ends."""
+    n = len(keys[0])
+    cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if n else np.zeros(0, np.int64)
+    return np.concatenate([[0], cuts]).astype(np.int64), np.concatenate([cuts, [n]]).astype(np.int64)
+
+
+def home_cells(nodes: DataFrame) -> DataFrame:
+    """``cell`` of every table of every node: the table and the anchor it is at home."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             marks = table_marks(batch["mark"])
             for t in range(TABLES):
-                yield pd.DataFrame({"cell": anchors(np.ascontiguousarray(marks[:, t]), 0)[1] | t << 24})
+                yield pd.DataFrame({"cell": anchors(np.ascontiguousarray(marks[:, t]), 0)[1].astype(np.int64) | t << 24})
 
-    cells = nodes.select("mark").mapInPandas(homes, "cell long")
-    # A bitmap's first bucket begins at 1.
-    parts = cells.groupBy(F.bitmap_bucket_number(F.col("cell") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits")).collect()
-    occupied = np.zeros((TABLES << 24) // 8, np.uint8)
-    for row in parts:
-        first = (row.bucket - 1) * 4096
-        occupied[first : first + 4096] = np.frombuffer(row.bits, np.uint8)
-    shipped = nodes.sparkSession.sparkContext.broadcast(occupied.tobytes())
+    return nodes.select("mark").mapInPandas(run, "cell long")
 
-    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken = np.frombuffer(shipped.value, np.uint8)
+
+def bitmap(cells: DataFrame) -> Broadcast:
+    """The cells as bits, told to all tasks: compressed pieces of 4 kB; unpacked they have a fixed size (``TABLES`` times 2^24 bits)."""
+    at = F.col("cell") + 1  # a bitmap's first bucket begins at 1
+    parts = cells.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    return cells.sparkSession.sparkContext.broadcast([(int(row.bucket) - 1, zlib.compress(row.bits, 1)) for row in parts.toLocalIterator()])
+
+
+def unpacked(shipped: Broadcast) -> np.ndarray:
+    """The bits of a bitmap, eight to a byte."""
+    out = np.zeros((TABLES << 24) // 8, np.uint8)
+    for bucket, bits in shipped.value:
+        out[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(zlib.decompress(bits), np.uint8)
+    return out
+
+
+def _told(taken: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (taken[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def home_links(nodes: DataFrame, shared: DataFrame, shipped: Broadcast, most: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``a, b``: a forest of the links of nodes (``node, mark``) that are at home in one cell.
+
+    ``shared`` has the cells with several nodes and their number (``cell, n``),
+    and ``shipped`` is their bitmap. A cell of more than ``cell_rows`` is cut into chunks, and its pairs of
+    chunks are compared in different tasks.
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = unpacked(shipped)
         for batch in batches:
-            for s in range(0, len(batch), 4096):
-                part = batch.iloc[s : s + 4096]
-                marks, wide = table_marks(part["mark"]), np.array([m[: 8 * WIDE] for m in part["mark"]], object)
-                for t in range(TABLES):
-                    at, cell, _ = anchors(np.ascontiguousarray(marks[:, t]), threshold)
-                    cell = cell | t << 24
-                    met = (taken[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-                    yield pd.DataFrame({"cell": cell[met].astype(np.int32), "node": part["node"].to_numpy()[at[met]], "mark": wide[at[met]]})
+            marks, node, mark = table_marks(batch["mark"]), batch["node"].to_numpy(), batch["mark"].to_numpy()
+            for t in range(TABLES):
+                cell = anchors(np.ascontiguousarray(marks[:, t]), 0)[1].astype(np.int64) | t << 24
+                met = _told(taken, cell)
+                if met.any():
+                    yield pd.DataFrame({"cell": cell[met], "node": node[met], "mark": mark[met]})
 
-    dealt = nodes.mapInPandas(replicate, "cell int, node long, mark binary").repartition("cell").sortWithinPartitions("cell")
+    hot = shared.where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
+    dealt = nodes.mapInPandas(deal, "cell long, node long, mark binary").join(hot, "cell", "left")
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    dealt = dealt.withColumn("i", chunk).withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    dealt = dealt.select("cell", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "mark")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def links_of(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            cell, node = part["cell"].to_numpy(), part["node"].to_numpy()
-            sig = np.frombuffer(b"".join(part["mark"]), "<u8").reshape(-1, WIDE)
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cell)]])
-            sizes, left, right = ends - starts, [], []
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):
+        held, forest = None, _Forest()
+
+        def links_of(part: pd.DataFrame) -> None:
+            node, sig = part["node"].to_numpy(), _words_of(part["mark"])
+            starts, ends = _groups(*(part[c].to_numpy() for c in ("cell", "i", "j")))
+            sizes = ends - starts
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
                 x, y = np.triu_indices(size, 1)
                 first = starts[sizes == size]
                 a, b = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
-                near = _differing(sig, a, b) <= most_bits
-                left.append(a[near])
-                right.append(b[near])
-
-            def told() -> Iterator[pd.DataFrame]:
-                if sum(map(len, left)):
-                    a, b = np.concatenate(left), np.concatenate(right)
-                    yield _sure_and_open(node, a, b, _differing(sig, a, b), sure)
-                    left.clear()
-                    right.clear()
-
-            for lo, hi in zip(starts[sizes > 24], ends[sizes > 24], strict=True):
-                held_pairs = 0
-                for a, b in _cell_pairs(sig[lo:hi], sure, most_bits):
-                    left.append(a + lo)
-                    right.append(b + lo)
-                    held_pairs += len(a)
-                    if held_pairs >= PAIRS_OUT:
-                        yield from told()
-                        held_pairs = 0
-            yield from told()
+                near = _near(sig, a, b, most)
+                forest.add(node[a[near]], node[b[near]])
+            for lo, hi in zip(starts[sizes > SMALL], ends[sizes > SMALL], strict=True):
+                for a, b in _cell_pairs(sig[lo:hi], most):
+                    forest.add(node[lo + a], node[lo + b])
 
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            whole = int(np.searchsorted(held["cell"].to_numpy(), held["cell"].iloc[-1])) if len(held) else 0
-            if whole:
-                yield from links_of(held.iloc[:whole])
-                held = held.iloc[whole:]
+            starts, _ = _groups(*(held[c].to_numpy() for c in ("cell", "i", "j")))
+            if starts[-1]:  # the last group may go on
+                links_of(held.iloc[: starts[-1]])
+                held = held.iloc[starts[-1] :].reset_index(drop=True)
         if held is not None and len(held):
-            yield from links_of(held)
+            links_of(held)
+        yield from forest.rows()
+
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInPandas(compare, "a long, b long")
 
-    return dealt.mapInPandas(compare, "a long, b long, bits long")
 
+def visitor_links(nodes: DataFrame, shared: DataFrame, shipped: Broadcast, most: int, threshold: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``a, b``: a forest of the links between classes (``root, mark``) that meet at an anchor where one is at home.
 
-def exactly_similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``a, b``: ids) whose shingle sets have this Jaccard similarity or more."""
+    A node is sent to every anchor within covering radius plus ``threshold``,
+    but for anchors where nobody is at home (``shipped`` is the bitmap of those where somebody is).
+    Rows of one class are not compared again.
+    """
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = unpacked(shipped)
         for batch in batches:
-            for s in range(0, len(batch), 256):
-                part = batch.iloc[s : s + 256]
-                held = [np.fromiter(h := shingle_hashes((t or "").encode().lower().split(), words), np.uint64, len(h)).view(np.int64) for t in part["text"]]
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "held": held})
+            for s in range(0, len(batch), 4096):
+                part = batch.iloc[s : s + 4096]
+                marks, root, mark = table_marks(part["mark"]), part["root"].to_numpy(), part["mark"].to_numpy()
+                for t in range(TABLES):
+                    at, cell, home = anchors(np.ascontiguousarray(marks[:, t]), threshold)
+                    cell = cell.astype(np.int64) | t << 24
+                    met = _told(taken, cell)
+                    yield pd.DataFrame({"cell": cell[met], "guest": ~home[met], "root": root[at[met]], "mark": mark[at[met]]})
+
+    hot = shared.where(F.col("n") > cell_rows).select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
+    dealt = nodes.mapInPandas(replicate, "cell long, guest boolean, root long, mark binary").join(hot, "cell", "left")
+    chunks = F.coalesce("chunks", F.lit(1))
+    own = F.array(F.pmod(F.xxhash64("mark"), chunks).cast("int"))
+    dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), chunks - 1)).otherwise(own)))
+    dealt = dealt.select("cell", "chunk", "guest", "root", "mark").repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "guest")
 
-    pairs = pairs.distinct()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(sets, "id long, held array<long>")
-    x, y = (held.select(F.col("id").alias(c), F.col("held").alias(f"of_{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(x, "a").join(y, "b").where(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hosts, forest = None, _Forest()
+        for batch in batches:
+            part = batch if hosts is None else pd.concat([hosts, batch], ignore_index=True)
+            starts, ends = _groups(part["cell"].to_numpy(), part["chunk"].to_numpy())
+            guest, root = part["guest"].to_numpy(), part["root"].to_numpy()
+            homes = np.add.reduceat(~guest, starts, dtype=np.int64)  # hosts come first in their cell
+            row = np.flatnonzero(guest)
+            of = np.searchsorted(starts, row, side="right") - 1
+            row, first, n = row[homes[of] > 0], starts[of][homes[of] > 0], homes[of][homes[of] > 0]
+            if len(row):
+                sig, upto = _words_of(part["mark"]), np.cumsum(n)
+                for lo in range(0, int(upto[-1]), PAIRS_OUT):
+                    k = np.arange(lo, min(lo + PAIRS_OUT, int(upto[-1])))
+                    at = np.searchsorted(upto, k, side="right")
+                    a, b = row[at], first[at] + k - (upto[at] - n[at])
+                    apart = root[a] != root[b]
+                    a, b = a[apart], b[apart]
+                    near = _near(sig, a, b, most)
+                    forest.add(root[a[near]], root[b[near]])
+            hosts = part.iloc[starts[-1] : starts[-1] + homes[-1]].reset_index(drop=True)
+        yield from forest.rows()
+
+    return dealt.mapInPandas(compare, "a long, b long")
 
 
-def confirmed(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``node, root`` of what the sure links of ``found`` (``a, b, bits``) and those open ones connect that an exact check confirms.
+def similar_classes(nodes: DataFrame, most: int, threshold: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``node, root`` of the nodes (``node, mark``) linked to another: marks that meet at an anchor and differ in ``most`` bits or fewer.
 
-    The likeliest open link of two classes is checked first, and more of them
-    in each round, until every one is checked or lies within a class.
+    Nodes at home in one cell are linked first. Only links between the classes
+    this gives are looked for among the anchors around, so a large group of
+    near copies is put out a few times, not once for every anchor it reaches.
     """
-    links = found.where("bits = 0").select("a", "b")
-    roots, left, most = components(links), found.where("bits > 0"), 1
-    while True:
-        for end, root in (("a", "p"), ("b", "q")):
-            left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
-        left = durable(left.where("p <> q").select("a", "b", "bits", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
-        if left.isEmpty():
-            return roots
-        order = Window.partitionBy("p", "q").orderBy("bits", "a", "b")
-        now = durable(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("a", "b"))
-        passed = durable(exactly_similar(docs, now, words, similarity))
-        if not passed.isEmpty():
-            links = links.unionByName(passed)
-            roots = components(links)
-        left, most = left.join(now, ["a", "b"], "left_anti").select("a", "b", "bits"), most * 64
+    shared = durable(home_cells(nodes).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shipped = bitmap(shared)
+    near = durable(home_links(nodes, shared, shipped, most, cell_rows))
+    shipped.destroy()
+    classed = nodes.join(components(near), "node", "left").select(F.coalesce("root", "node").alias("root"), "mark")
+    shipped = bitmap(home_cells(nodes))
+    far = durable(visitor_links(classed, shared, shipped, most, threshold, cell_rows))
+    shipped.destroy()
+    release(nodes.sparkSession)
+    return components(near.unionByName(far))
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: each class keeps its smallest ``doc_id``.
 
-    A class is what links of ``similarity`` or more (shingles of ``words`` words)
-    connect. Texts without words are copies of each other. Of rows with one id
-    all stay or all go; a null id stays only where its class has no other, and
-    then in one row.
+    A class is what links connect; texts link whose fingerprints of the sets of
+    ``words``-word shingles say that they are of ``similarity`` or more, give or
+    take the fingerprint's error (``bits_for``). Texts without words are copies
+    of each other. Of rows with one id all stay or all go; a null id stays only
+    where its class has no other, and then in one row. An empty table gives no
+    rows; very long texts are read whole.
     """
     @F.pandas_udf("binary")
     def both(texts: pd.Series) -> pd.Series:
@@ -463,11 +526,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, thresho
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = slim.mapInPandas(mark, "doc_id long, mark binary")
     nodes = durable(marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.coalesce("doc_id", F.xxhash64("mark"))))
-    nameless = docs.where("doc_id IS NULL").withColumn("_marks", both("text")).withColumn("_node", F.xxhash64("_marks"))
-    texts = slim.where("doc_id IS NOT NULL").unionByName(nameless.select(F.col("_node").alias("doc_id"), "text"))
-    cut, slack = bits_for(similarity), round(2.5 * np.sqrt(bits_for(similarity)))
-    found = durable(similar_links(nodes, cut - slack, cut + slack, threshold).groupBy("a", "b").agg(F.min("bits").alias("bits")))
-    roots = confirmed(texts, found, words, similarity)
+    nameless = docs.where("doc_id IS NULL").withColumn("_node", F.xxhash64(both("text")))
+    roots = similar_classes(nodes.select("node", "mark"), bits_for(similarity), threshold)
     classes = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("_node"))
     kept = docs.join(classes.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     # Of a class without an id, one row.
