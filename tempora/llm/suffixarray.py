@@ -15,17 +15,20 @@ Which bytes lie in a string of ``length`` bytes that also starts elsewhere?
    built by linear grouping (``suffix_array``). A string repeats if a neighbour
    in it agrees over ``window`` symbols.
 4. A class with very many different blocks (a passage in very many documents)
-   is split into its single strings, which are counted by hash.
+   is split first: strings with many bytes before the middle go by those
+   bytes, the others by the bytes behind it. Either part is a class with a
+   longer middle and half the window, and is split again if it is still hot.
 5. The repeated strings return to their documents, which lose the bytes.
 
-A document is known by a 64-bit hash of its text, so copies are one document
-that repeats. The text itself is shuffled once.
+A document is known by two hashes of its text (95 bits), so copies are one
+document that repeats; a block by those of its class and its sides (128 bits).
+What later steps read again is checkpointed, so anchors and blocks are computed once.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,11 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tempora.llm.common import durable, release
+
 LENGTH = 400
-WINDOW = 40  # a multiple of eight
+WINDOW = 64  # at most
 GRAM = 64
-MOST_BLOCKS = 256  # different blocks of a class that are ordered together
-TEXT_SYMBOLS = 150_000
+SECOND_SEED = 77
+MOST_BLOCKS = 2048  # different blocks of a class that are ordered together
+TEXT_SYMBOLS = 6_000  # of a text that many classes share; what fits a cache is ordered faster
 
 
 # -- the suffix array ----------------------------------------------------------
@@ -196,7 +202,7 @@ def _edges(data: bytes, q: int, length: int, window: int) -> tuple[bytes, bytes]
     return data[max(0, q - window + 1) : q], data[behind : q + length]
 
 
-def repeated_offsets(blocks: list[tuple[int, bytes, bytes]], window: int) -> list[list[int]]:
+def repeated_offsets(blocks: list[tuple[Hashable, bytes, bytes]], window: int) -> list[list[int]]:
     """For blocks (class, left, right): the offsets (bytes before the anchor) whose strings another block has."""
     classes = {c: 256 + i for i, c in enumerate(dict.fromkeys(b[0] for b in blocks))}
     parts, owner, offset, valid = [], [], [], []
@@ -228,8 +234,15 @@ def repeated_offsets(blocks: list[tuple[int, bytes, bytes]], window: int) -> lis
 # -- the distributed operator --------------------------------------------------
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(at, rows) for at in range(0, len(batch), rows))
+def _slices(batch: pa.RecordBatch, rows: int = 256, most: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with so many rows and bytes of text at most, but one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + most, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -249,25 +262,72 @@ def _table(columns: list[list], spec: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def _mask(offsets: Iterable[int]) -> int:
+    """Bits of a signed 64-bit number for the offsets."""
+    bits = sum(1 << o for o in offsets)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _hashes(parts: Iterator[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in parts], np.uint64).view(np.int64)
 
 
-def _keep_spans(data: bytes, found: list[dict] | None, whole: bool, length: int) -> tuple[bytes, int]:
-    """Bytes that stay, and the number of runs removed."""
-    n = len(data)
-    starts = np.zeros(n + 1, np.int64)
-    if whole and n >= length:
-        starts[: n - length + 1] = 1
-    for x in found or ():
-        at = x["q"] - np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8)))
-        starts[at[(at >= 0) & (at <= n - length)]] = 1
-    if not starts.any():
-        return data, 0
-    ends = np.concatenate([np.zeros(length, np.int64), starts])[: n + 1]
-    gone = np.cumsum(starts - ends)[:n] > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), runs
+def _cut_texts(texts: pa.Array, tags: np.ndarray, found: pa.ListArray, whole: np.ndarray, length: int, window: int) -> tuple[pa.Array, np.ndarray]:
+    """What stays of each text, and the number of runs removed: all texts end to end, in whole arrays.
+
+    ``found`` has places with a bit for each start before them that repeats (those
+    with another tag are another text's); of ``whole`` texts every start does.
+    """
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    total = int(first[-1])
+    data = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+    starts = np.zeros(total + 1, np.int8)
+    spans = pc.list_flatten(found)
+    if len(spans):
+        text = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+        masks = spans.field("mask").to_numpy(zero_copy_only=False).view(np.uint64)
+        row, offset = np.nonzero((masks[:, None] >> np.arange(window, dtype=np.uint64)) & np.uint64(1))
+        places = spans.field("q").to_numpy(zero_copy_only=False).astype(np.int64)
+        own = places >> 32 == tags[text] >> 32
+        at = (places & 0xFFFFFFFF)[row] - offset
+        fits = (at >= 0) & (at <= sizes[text[row]] - length) & own[row]
+        starts[first[text[row[fits]]] + at[fits]] = 1
+    change = starts.astype(np.int32)
+    change[length:] -= starts[: max(0, total + 1 - length)]
+    gone = np.cumsum(change, dtype=np.int32)[:total] > 0
+    for i in np.flatnonzero(whole & (sizes >= length)):
+        gone[first[i] : first[i + 1]] = True
+    begins = gone & ~np.concatenate([[False], gone[:-1]])[:total]
+    filled = first[:-1][sizes > 0]
+    begins[filled] = gone[filled]  # a run does not go on into the next text
+    stay = np.concatenate([[0], np.cumsum(~gone)])
+    runs = np.concatenate([[0], np.cumsum(begins)])
+    kept = data[~gone]
+    out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(stay[first].astype(np.int32)), pa.py_buffer(kept)])
+    return out, np.diff(runs[first])
+
+
+def _halves(rows: DataFrame) -> DataFrame:
+    """Every row of a hot class as one of two classes with half the window, one for either end of its strings."""
+    half = F.expr("window div 2")
+    left, right = F.octet_length("left"), F.octet_length("right")
+
+    def part(column: str, at: Column, n: Column) -> Column:
+        return F.substring(F.col(column), at.cast("int"), F.greatest(n, F.lit(0)).cast("int"))
+
+    before = rows.where(left >= half).select(
+        "key", F.xxhash64("sub", F.lit(0), part("left", left - half + 1, half)).alias("sub"), "block",
+        part("left", F.lit(1), left - half).alias("left"), part("right", F.lit(1), F.col("window") - 1 - half).alias("right"),
+        (F.col("window") - half).cast("int").alias("window"), (F.col("shift") + half).cast("int").alias("shift"),
+    )
+    rest = F.col("window") - half
+    behind = rows.where(right >= rest).select(
+        "key", F.xxhash64("sub", F.lit(1), part("right", F.lit(1), rest)).alias("sub"), "block",
+        part("left", F.greatest(left - half + 1, F.lit(0)) + 1, half - 1).alias("left"), part("right", rest + 1, half - 1).alias("right"),
+        half.cast("int").alias("window"), F.col("shift"),
+    )
+    return before.unionByName(behind)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -279,62 +339,74 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     repeat are documents of their own, so they repeat each other. Columns named
     like the results are replaced; other columns, clashing or not, are kept.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_u", "_found", "_whole")
+    if window > 64:
+        raise ValueError("a window's starts are told by the bits of a 64-bit number")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_u", "_tag", "_found", "_whole")
     columns = docs.columns
-    known = docs.withColumn("_u", F.xxhash64(F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    spark = docs.sparkSession
+    # A place is its document's first hash, and a number: the second hash (31 bits) above the place in the text.
+    tag = F.xxhash64(F.lit(SECOND_SEED), text).bitwiseAND(F.lit((1 << 31) - 1).cast("long"))
+    known = docs.withColumn("_u", F.xxhash64(text)).withColumn("_tag", F.shiftleft(tag, 32))
     long_enough = F.octet_length("text") >= length
     middle, gram = length + 1 - window, min(GRAM, length // 2)
-    full = np.packbits(np.ones(window, np.uint8)).tobytes()
 
     # 1. Coarse anchors, and those whose gram has two different places.
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for batch in _slices(whole_batch):
                 keys, us, qs = [], [], []
-                for data, u in zip(_texts(batch), batch.column("_u").to_pylist(), strict=True):
+                for data, u, own in zip(_texts(batch), batch.column("_u").to_pylist(), batch.column("_tag").to_pylist(), strict=True):
                     at = _changes(coarse_anchors(data, length, gram))
                     keys.append(_hashes(data[q : q + gram] for q in at.tolist()))
                     us.append(np.full(len(at), u, np.int64))
-                    qs.append(at)
-                yield _table([keys, us, qs], "key long, u long, q int")
+                    qs.append(at | own)
+                yield _table([keys, us, qs], "key long, u long, q long")
 
     place = F.xxhash64("u", "q")
-    found = known.where(long_enough).select("text", "_u").mapInArrow(find, "key long, u long, q int")
+    found = known.where(long_enough).select("text", "_u", "_tag").mapInArrow(find, "key long, u long, q long")
     repeated = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
     # As an expression the key is dealt out anew, so that a hot one's rows can be split in the join.
     repeated = repeated.select(F.col("key").bitwiseXOR(1).bitwiseXOR(1).alias("key"))
-    asked = found.join(repeated, "key", "left_semi").groupBy("u").agg(F.collect_set("q").alias("qs"))
+    asked = durable(found.join(repeated, "key", "left_semi").groupBy("u").agg(F.collect_set("q").alias("qs")))
+    release(spark)
 
     # 2. The blocks of the strings around them, equal ones aggregated.
-    def blocks_of(data: bytes, qs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = anchors(data, length, window, gram, set(qs))
+    def blocks_of(data: bytes, own: int, qs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = anchors(data, length, window, gram, {q ^ own for q in qs if q >> 32 == own >> 32})
         places = at.tolist()
         keys = _hashes(data[q : q + middle] for q in places)
         sides = _hashes(min(q, window - 1).to_bytes(4, "little") + data[max(0, q - window + 1) : q] + data[q + middle : q + length] for q in places)
-        return keys, sides, at
+        return keys, sides, at | own
+
+    def rows_of(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+        return zip(_texts(batch), *(batch.column(c).to_pylist() for c in columns), strict=True)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for batch in _slices(whole_batch):
-                found = [blocks_of(d, qs) for d, qs in zip(_texts(batch), batch.column("qs").to_pylist(), strict=True)]
+                found = [blocks_of(*row) for row in rows_of(batch, "_tag", "qs")]
                 us = [np.full(len(x[2]), u, np.int64) for x, u in zip(found, batch.column("_u").to_pylist(), strict=True)]
-                yield _table([[x[0] for x in found], [x[1] for x in found], us, [x[2] for x in found]], "key long, block long, u long, q int")
+                yield _table([[x[0] for x in found], [x[1] for x in found], us, [x[2] for x in found]], "key long, block long, u long, q long")
 
     def with_text(lists: DataFrame) -> DataFrame:
         # The lists are hashed, so texts need no sorting.
-        return known.join(lists.hint("shuffle_hash"), F.col("_u") == F.col("u")).select(*columns, "_u", *[c for c in lists.columns if c != "u"])
+        return known.join(lists.hint("shuffle_hash"), F.col("_u") == F.col("u")).select("text", "_u", "_tag", *[c for c in lists.columns if c != "u"])
 
-    places = with_text(asked).mapInArrow(blocks, "key long, block long, u long, q int")
+    places = durable(with_text(asked).mapInArrow(blocks, "key long, block long, u long, q long"))
+    release(spark)
     distinct = places.groupBy("key", "block").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("u").alias("u"))
-    distinct = distinct.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("kinds > 1 OR a <> b")
+    kinds = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("a") != F.col("b")).alias("copies")).where("kinds > 1 OR copies")
+    distinct = durable(distinct.join(kinds.select("key", "kinds"), "key"))
+    release(spark)
 
     # 3. Blocks of classes with several kinds, one document of each, with their edges.
     def chosen(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
-        for data, qs, asked_ in zip(_texts(batch), batch.column("qs").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+        for data, own, qs, asked_ in rows_of(batch, "_tag", "qs", "asked"):
             mine = {(x["key"], x["block"]) for x in asked_}
-            for key, block, q in zip(*(x.tolist() for x in blocks_of(data, qs)), strict=True):
+            for key, block, q in zip(*(x.tolist() for x in blocks_of(data, own, qs)), strict=True):
                 if (key, block) in mine:
-                    yield data, key, block, q
+                    yield data, key, block, q ^ own
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -343,91 +415,79 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 keys, ids, left, right = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
                 yield _table([[np.array(keys, np.int64)], [np.array(ids, np.int64)], left, right], "key long, block long, left binary, right binary")
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in _slices(whole_batch):
-                columns: list[list] = [[], [], [], []]
-                for data, key, block, q in chosen(batch):
-                    offsets = [o for o in range(window) if o <= q and q - o + length <= len(data)]
-                    for held, x in zip(columns, (np.full(len(offsets), key), np.full(len(offsets), block), _hashes(data[q - o : q - o + length] for o in offsets), np.array(offsets, np.int64)), strict=True):
-                        held.append(x)
-                yield _table(columns, "key long, block long, string long, offset int")
-
-    def wanted(which: str) -> DataFrame:
-        lists = distinct.where(which).groupBy("u").agg(F.collect_list(F.struct("key", "block")).alias("asked"))
-        return with_text(lists.join(asked, "u"))
-
-    few = wanted(f"kinds > 1 AND kinds <= {most_blocks}").mapInArrow(edges, "key long, block long, left binary, right binary").distinct()
-    many = wanted(f"kinds > {most_blocks}").mapInArrow(strings, "key long, block long, string long, offset int").distinct()
+    lists = distinct.where("kinds > 1").groupBy("u").agg(F.collect_list(F.struct("key", "block")).alias("asked"))
+    rows = with_text(lists.join(asked, "u")).mapInArrow(edges, "key long, block long, left binary, right binary").distinct()
+    rows = rows.select("key", F.lit(0).cast("long").alias("sub"), "block", "left", "right", F.lit(window).alias("window"), F.lit(0).alias("shift"))
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int, bytes, bytes]] = []
+        held: list[tuple] = []
 
-        def ordered(rows: list[tuple[int, int, bytes, bytes]]) -> pd.DataFrame:
+        def ordered() -> pd.DataFrame:
             out = []
-            for (key, block, _, _), offsets in zip(rows, repeated_offsets([(k, a, b) for k, _, a, b in rows], window), strict=True):
-                if offsets:
-                    bits = np.zeros(window, np.uint8)
-                    bits[offsets] = 1
-                    out.append((key, block, np.packbits(bits).tobytes()))
+            offsets = repeated_offsets([(row[:2], row[3], row[4]) for row in held], held[0][5])
+            for (key, _, block, _, _, _, shift), own in zip(held, offsets, strict=True):
+                if own:
+                    out.append((key, block, _mask(o + shift for o in own)))
             return pd.DataFrame(out, columns=["key", "block", "mask"])
 
         symbols = 0
         for batch in batches:
-            for row in zip(batch["key"].tolist(), batch["block"].tolist(), batch["left"], batch["right"], strict=True):
-                if symbols > TEXT_SYMBOLS and row[0] != held[-1][0]:
-                    yield ordered(held)
+            for row in zip(*(batch[c].tolist() for c in ("key", "sub", "block", "left", "right", "window", "shift")), strict=True):
+                if held and (row[5] != held[-1][5] or symbols > TEXT_SYMBOLS and row[:2] != held[-1][:2]):
+                    yield ordered()
                     held, symbols = [], 0
                 held.append(row)
-                symbols += len(row[2]) + len(row[3]) + 2
+                symbols += len(row[3]) + len(row[4]) + 2
         if held:
-            yield ordered(held)
-
-    # Few bytes are much work here, so their number must not be left to their size.
-    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_order = few.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(order, "key long, block long, mask binary")
-
-    # 4. Single strings of classes with very many kinds.
-    hot = many.select("key", "block", F.xxhash64("key", "offset", "string").alias("string"), "offset")
-    twice = hot.groupBy("string").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("string")
-    offsets = hot.join(twice, "string", "left_semi").groupBy("key", "block").agg(F.collect_set("offset").alias("offsets"))
-    digits = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: F.when(F.array_contains("offsets", i), "1").otherwise("0"))
-    hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(window - 4), F.lit(4)), lambda i: F.conv(F.array_join(F.slice(F.col("digits"), i + 1, 4), ""), 2, 16)), "")
-    by_hash = offsets.withColumn("digits", digits).select("key", "block", F.unhex(hexed).alias("mask"))
+            yield ordered()
+
+    # 4. Hot classes are split until none is left, at the latest when all strings of a class are one.
+    # The sizes of classes come with their rows, so none is joined; a hot one's rows are sorted, which may spill.
+    # Few bytes are much work here, so the number of tasks must not be left to their size.
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    verdicts = distinct.where("a <> b").select("key", "block", F.lit(_mask(range(window))).cast("long").alias("mask"))
+    one = F.expr("shiftleft(1L, shift)")
+    of_class = Window.partitionBy("key", "sub")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(of_class))
+    while True:
+        rows = durable(rows.where("n > 1"))
+        calm = rows.where(F.col("n") <= most_blocks).drop("n").repartition(tasks, "key", "sub").sortWithinPartitions("window", "key", "sub")
+        verdicts = verdicts.unionByName(calm.mapInPandas(order, "key long, block long, mask long"))
+        hot = rows.where(F.col("n") > most_blocks).drop("n")
+        if hot.isEmpty():
+            break
+        verdicts = verdicts.unionByName(hot.where("window = 1").select("key", "block", one.alias("mask")))
+        rows = _halves(hot.where("window > 1")).withColumn("n", F.count(F.lit(1)).over(of_class))
 
     # 5. Verdicts return to their places, and the places to their documents.
-    whole = distinct.where("a <> b").select("key", "block", F.lit(full).alias("mask"))
-    verdicts = whole.unionByName(by_order).unionByName(by_hash)
+    verdicts = verdicts.groupBy("key", "block").agg(F.bit_or("mask").alias("mask"))  # one for each block, however often it was split
     spans = places.join(verdicts, ["key", "block"]).groupBy("u").agg(F.collect_set(F.struct("q", "mask")).alias("_found"))
-    copied = known.where(long_enough).groupBy("_u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("_u").alias("u"), F.lit(True).alias("_whole"))
+    copied = known.where(long_enough).groupBy("_u", "_tag").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    copied = copied.groupBy(F.col("_u").alias("u")).agg(F.collect_set("_tag").alias("_whole"))
     removal = spans.join(copied, "u", "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text").cast(pa.binary())
-            kept = pc.coalesce(text, pa.scalar(b"", pa.binary()))
-            sizes = pc.binary_length(kept).cast(pa.int64())
-            found, whole_ = batch.column("_found"), pc.fill_null(batch.column("_whole"), False)
-            hit = pc.or_(pc.is_valid(found), whole_)
-            runs = np.zeros(len(batch), np.int64)
-            if pc.any(hit).as_py():  # other texts pass as they are
-                at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
-                done = [_keep_spans(t, f, w, length) for t, f, w in zip(kept.take(at).to_pylist(), found.take(at).to_pylist(), whole_.take(at).to_pylist(), strict=True)]
-                runs[at] = [r for _, r in done]
-                kept = pc.replace_with_mask(kept, hit, pa.array([k for k, _ in done], pa.binary()))
-            removed = pc.subtract(sizes, pc.binary_length(kept).cast(pa.int64()))
-            names = [*columns, "n_bytes", "n_removed", "n_spans", "kept"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], sizes, removed, pa.array(runs), kept], names=names)
+        for whole_batch in batches:
+            for batch in _slices(whole_batch):
+                kept = pc.coalesce(batch.column("text").cast(pa.binary()), pa.scalar(b"", pa.binary()))
+                sizes = pc.binary_length(kept).cast(pa.int64())
+                found, copies = batch.column("_found"), batch.column("_whole")
+                hit = pc.or_(pc.is_valid(found), copies).to_numpy(zero_copy_only=False)
+                runs = np.zeros(len(batch), np.int64)
+                if hit.any():  # other texts pass as they are
+                    at = pa.array(np.flatnonzero(hit))
+                    changed, runs[hit] = _cut_texts(kept.take(at), batch.column("_tag").take(at).to_numpy(), found.take(at), copies.take(at).to_numpy(zero_copy_only=False), length, window)
+                    kept = pc.replace_with_mask(kept, pa.array(hit), changed)
+                removed = pc.subtract(sizes, pc.binary_length(kept).cast(pa.int64()))
+                names = [*columns, "n_bytes", "n_removed", "n_spans", "kept"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], sizes, removed, pa.array(runs), kept], names=names)
 
     fields = [T.StructField(n, k) for n, k in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType()))]
-    placed = known.join(removal.hint("shuffle_hash"), F.col("_u") == F.col("u"), "left").select(*columns, "_u", "_found", "_whole")
+    placed = known.join(removal.hint("shuffle_hash"), F.col("_u") == F.col("u"), "left").select(*columns, "_tag", "_found", F.coalesce(F.array_contains("_whole", F.col("_tag")), F.lit(False)).alias("_whole"))
     return placed.mapInArrow(cut, T.StructType([*docs.schema.fields, *fields]))
 
 
 def kept_text(kept: Column) -> Column:
     """Remaining bytes as text; what is left of a character cut in two is dropped."""
-
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
-
-    return F.pandas_udf(decode, "string")(kept)
+    text = kept.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
