@@ -132,7 +132,8 @@ def training_rows(keys: DataFrame, docs: DataFrame, label: str, most: int) -> pd
     sizes = keys.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     low = unit_uniform(F.lit(3), F.col("doc_id")) * F.col("_size") < 3 * most + 100
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = keys.join(sizes, label).where(low)
+    # The sample of every label goes to the driver, so labels are few.
+    few = keys.join(F.broadcast(sizes), label).where(low)
     chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", label).distinct().toPandas()
     picked = docs.sparkSession.createDataFrame([(int(i),) for i in chosen["doc_id"].unique()], "doc_id long")
     fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fit_to_learn())
