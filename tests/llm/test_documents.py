@@ -174,6 +174,41 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i % 100 in (0, 9))
 
 
+@pytest.mark.parametrize("bucket_rows", [simhash.BUCKET_ROWS, 30])
+def test_only_texts_that_share_heads_meet(spark, monkeypatch, bucket_rows):
+    """Unrelated texts go to no anchor, so that what is sent does not grow with the square of their number."""
+    rng = np.random.default_rng(6)
+    marks = rng.integers(0, 1 << 64, (3000, simhash.PARTS), np.uint64)
+    heads = rng.integers(-(1 << 62), 1 << 62, (3000, len(simhash.HEADS)))
+    marks[2000:2100] = marks[0]  # near copies, and others that share a head with them alone
+    marks[2000:2100, 12] ^= np.uint64(1) << np.arange(100).astype(np.uint64) % np.uint64(64)
+    marks[2000:2100, 11] ^= np.arange(100).astype(np.uint64)
+    heads[2000:2100, :6] = heads[0, :6]
+    heads[2100:2200, 5] = heads[0, 5]
+    marks[2300], heads[2300, 3] = marks[2301], heads[2301, 3]
+    marks[2300, 0] ^= np.uint64(5)
+    sent = []
+    for name in ("similar_classes", "bitmap"):
+        real = getattr(simhash, name)
+        monkeypatch.setattr(simhash, name, lambda df, *rest, real=real: sent.append(df.count()) or real(df, *rest))
+    rows = [(i, m.tobytes(), *map(int, h)) for i, (m, h) in enumerate(zip(marks, heads, strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(["node long, mark binary", *(f"{c} long" for c in simhash.HEADS)]))
+    found = {r.node: r.root for r in simhash.similar_texts(df, 150, 2, bucket_rows).collect()}
+    assert found == dict.fromkeys(range(2000, 2100), 0) | {2301: 2300}
+    assert sent == [] if bucket_rows > 30 else sent[0] == 201
+
+
+def test_unrelated_texts_are_sent_to_no_anchor(spark, monkeypatch):
+    sent = []
+    real = simhash.visitor_links
+    monkeypatch.setattr(simhash, "visitor_links", lambda nodes, *rest: sent.append(nodes.count()) or real(nodes, *rest))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(300)]
+    rows += [(1000 + i, f"{text} more") for i, text in rows[:50]]
+    kept = sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == list(range(300))
+    assert sum(sent) == 0
+
+
 @pytest.mark.parametrize("cell_rows", [4096, 40])
 def test_a_large_cell_loses_no_link(spark, cell_rows):
     """Two groups whose members differ from the other group's by more bits than allowed, with a bridge between them."""
