@@ -153,6 +153,31 @@ def test_components_of_tricky_documents(tricky):
     assert got == want
 
 
+def test_edges_that_no_other_block_shares_are_not_ordered():
+    rnd = random.Random(5)
+    for window in (1, 2, 5, 64):
+        ordered = given = 0
+        for _ in range(40):
+            left, right = (bytes(rnd.choice(b"ab") for _ in range(window - 1)) for _ in range(2))
+            blocks = {(left, right), (left[len(left) // 2 :], right), (left, right[: len(right) // 2])}
+            for _ in range(rnd.randrange(1, 7)):
+                i, j = rnd.randrange(window), rnd.randrange(window)
+                blocks.add((b"x" * (len(left) - i) + left[len(left) - i :], right[:j] + b"y" * (len(right) - j)))
+            blocks = sorted(blocks)
+            want = {}
+            for k, (a, b) in enumerate(blocks):
+                strings = [{o: (a[len(a) - o :], b[: window - 1 - o]) for o in range(window) if o <= len(a) and window - 1 - o <= len(b)} for a, b in blocks]
+                own = [o for o, x in strings[k].items() if any(strings[other].get(o) == x for other in range(len(blocks)) if other != k)]
+                if own:
+                    want[k] = own
+            short = suffixarray.trimmed(blocks, window)
+            offsets = suffixarray.repeated_offsets([(0, a, b) for _, a, b in short], window) if short else []
+            assert {k: sorted(own) for (k, _, _), own in zip(short, offsets, strict=True) if own} == want
+            given += sum(len(a) + len(b) for a, b in blocks)
+            ordered += sum(len(a) + len(b) for _, a, b in short)
+        assert window == 1 or ordered < given
+
+
 def test_near_copies_go_and_others_stay(spark):
     rnd = random.Random(1)
     words = [f"w{i}{rnd.randrange(999)}" for i in range(4000)]
